@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality
+from . import chat, mixing, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_packing": packing.op8_packing,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": quality.sql(),
     "op2_chat_formatting": chat.sql(),
     "op5_source_mixing": mixing.sql(),
+    "op6_secret_scan": secrets.sql(),
 }
