@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, quality, secrets
+from . import chat, langid, mixing, packing, quality, secrets, spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_language_id": langid.op3_language_id,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_packing": packing.op8_packing,
+    "op10_spot_signatures": spotsigs.op10_spot_signatures,
 }
 
 SQL: dict[str, str] = {
