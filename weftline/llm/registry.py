@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, packing, quality, secrets, spotsigs
+from . import chat, langid, lines, mixing, packing, quality, secrets, spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_packing": packing.op8_packing,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_spot_signatures": spotsigs.op10_spot_signatures,
 }
 
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op2_chat_formatting": chat.sql(),
     "op5_source_mixing": mixing.sql(),
     "op6_secret_scan": secrets.sql(),
+    "op9_line_dedup": lines.sql(),
 }
