@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import cut, table
+from weftline.llm.jaccard import keep_first
 from weftline.llm.mixing import mix_sources
+from weftline.llm.packing import pack_documents
 from weftline.llm.quality import keep_good
+from weftline.llm.secrets import redact_secrets
 
 STAGES = [
     ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_first),
+    ("secret scans", redact_secrets),
     ("source mixing", mix_sources),
+    ("packing", pack_documents),
 ]
 
+#: Token ids are beyond SQL; the tests hold the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, lines, mixing, packing, quality, secrets, spotsigs
+from . import chat, jaccard, langid, lines, mixing, packing, quality, secrets, spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_language_id": langid.op3_language_id,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_packing": packing.op8_packing,
