@@ -1,4 +1,8 @@
-"""Every registered query of the pattern engine, with its SQL."""
+"""Every registered query of the pattern engine, with its SQL for DuckDB."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import batch_queries, flow_queries
+
+QUERIES = batch_queries.QUERIES | flow_queries.QUERIES
+SQL = batch_queries.SQL | flow_queries.SQL
