@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batch_queries, flow_queries
+from . import batch_queries, flow_queries, score_queries
 
-QUERIES = batch_queries.QUERIES | flow_queries.QUERIES
-SQL = batch_queries.SQL | flow_queries.SQL
+QUERIES = batch_queries.QUERIES | flow_queries.QUERIES | score_queries.QUERIES
+SQL = batch_queries.SQL | flow_queries.SQL | score_queries.SQL
