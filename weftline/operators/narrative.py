@@ -19,13 +19,16 @@ def tension(samples: DataFrame, key: str, window: int, threshold: float = THRESH
     differ by less than ten thresholds; else the slope decides between rising, falling and plateau; unknown under three."""
     window = max(LEAST_WINDOW, window)
     w = W.partitionBy(key).orderBy("tick").rowsBetween(-(window - 1), 0)
-    rows = samples.withColumns({"s": F.collect_list(F.struct("tick", "value")).over(w), "m": F.regr_slope("value", "tick").over(w)})
+    rows = samples.withColumn("s", F.collect_list(F.struct("tick", "value")).over(w))
     values = F.transform("s", lambda x: x["value"])
+    ticks = F.transform("s", lambda x: (x["tick"] - F.get("s", F.lit(0))["tick"]).cast("double"))
     n = F.size("s")
     half = F.floor(n / 2).cast("int")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
     mean = lambda xs: F.try_divide(total(xs), F.size(xs))
-    rows = rows.withColumns({"slope": F.coalesce("m", F.lit(0.0)), "a": mean(F.slice(values, F.lit(1), half)), "b": mean(F.slice(values, half + 1, n)), "mid": F.get(values, half)})
+    x, y = mean(ticks), mean(values)
+    slope = F.try_divide(total(F.zip_with(ticks, values, lambda a, b: (a - x) * (b - y))), total(F.transform(ticks, lambda a: (a - x) * (a - x))))
+    rows = rows.withColumns({"slope": F.coalesce(slope, F.lit(0.0)), "a": mean(F.slice(values, F.lit(1), half)), "b": mean(F.slice(values, half + 1, n)), "mid": F.get(values, half)})
     near = F.abs(F.col("a") - F.col("b")) < threshold * 10
     kind = (
         F.when(n < LEAST_WINDOW, "unknown")
