@@ -93,10 +93,10 @@ for _name, _how, _agg in (
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
     r = events(spark, d)
-    return r.df.select(node_id("u", "user_id").alias("actor"), F.floor(micros("ts") / DAY).alias("tick"), "value").groupBy("actor", "tick").agg(F.round(F.sum("value") / 100, 2).alias("value"))
+    return r.df.select(node_id("u", "user_id").alias("actor"), F.floor(micros("ts") / DAY).alias("tick"), "value").groupBy("actor", "tick").agg((F.sum("value") / 100).alias("value"))
 
 
-V = f"""{E}, v AS (SELECT u, t // {DAY} AS tick, round(sum(v) / 100, 2) AS value FROM e GROUP BY ALL), w AS (SELECT u, tick, value, list(value) OVER z AS vs, regr_slope(value, tick) OVER z AS m FROM v WINDOW z AS (PARTITION BY u ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+V = f"""{E}, v AS (SELECT u, t // {DAY} AS tick, sum(v) / 100 AS value FROM e GROUP BY ALL), w AS (SELECT u, tick, value, list(value) OVER z AS vs, regr_slope(value, tick) OVER z AS m FROM v WINDOW z AS (PARTITION BY u ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 h AS (SELECT *, len(vs) AS n, len(vs) // 2 AS half, CASE WHEN len(vs) < 2 THEN 0 ELSE m END AS slope FROM w), x AS (SELECT *, list_avg(vs[1:half]) AS a, list_avg(vs[half + 1:]) AS b, vs[half + 1] AS mid FROM h),
 y AS (SELECT u, tick, value, slope, CASE WHEN n < 3 THEN 'unknown' WHEN mid > a AND mid > b AND abs(a - b) < 0.1 THEN 'peak' WHEN mid < a AND mid < b AND abs(a - b) < 0.1 THEN 'valley' WHEN slope > 0.01 THEN 'rising' WHEN slope < -0.01 THEN 'falling' ELSE 'plateau' END AS trajectory FROM x)"""
 query("tension_slope", f"WITH {V} SELECT u AS actor, tick, {R('slope')} AS slope FROM y")(lambda spark, d: rounded(narrative.tension(samples(spark, d), "actor", 5).select("actor", "tick", "slope"), "slope"))
