@@ -91,8 +91,8 @@ def owners(held: DataFrame, owner: str, repo: str) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "source", repo: str = "doc_id", wide: int = WIDE_OWNERS) -> DataFrame:
-    """The carried columns and spans: (start, end, kind, value_start, status), of every row. status: example, live or weak."""
+def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "source", repo: str = "doc_id", wide: int = WIDE_OWNERS, out: str = "spans") -> DataFrame:
+    """The carried columns and, named by out, spans: (start, end, kind, value_start, status), of every row. status: example, live or weak."""
     cols = list(dict.fromkeys([*carry, owner, repo]))
     held = df.select(*[F.col(f"`{c}`") for c in cols], candidates(F.col(f"`{text}`")).alias("__spans"))
     held = cut(held.withColumn("__row", F.monotonically_increasing_id()), "candidates")
@@ -101,13 +101,13 @@ def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "sour
     each = some.select("__row", F.explode("__spans").alias("s")).withColumn("__hash", F.col("s.hash"))
     each = each.join(owners(some, owner, repo).withColumnRenamed("hash", "__hash"), "__hash").withColumn("status", status)
     shown = each.where((F.col("s.kind") != OPAQUE) | (F.col("status") == "live"))
-    rows = shown.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "s.kind", "s.value_start", "status"))).alias("spans"))
+    rows = shown.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "s.kind", "s.value_start", "status"))).alias("__all"))
     # opaque spans that another span overlaps say nothing new
-    alone = F.filter("spans", lambda a: (a["kind"] != OPAQUE) | ~F.exists("spans", lambda b: (b["kind"] != OPAQUE) & (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    rows = rows.withColumn("spans", alone)
+    alone = F.filter("__all", lambda a: (a["kind"] != OPAQUE) | ~F.exists("__all", lambda b: (b["kind"] != OPAQUE) & (b["start"] < a["end"]) & (a["start"] < b["end"])))
+    rows = rows.select("__row", alone.alias("__found"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value_start:bigint,status:string>>")
-    out = held.drop("__spans").join(rows, "__row", "left").withColumn("spans", F.coalesce("spans", none))
-    return out.select(*[F.col(f"`{c}`") for c in carry], "spans")
+    both = held.drop("__spans").join(rows, "__row", "left")
+    return both.select(*[F.col(f"`{c}`") for c in carry], F.coalesce("__found", none).alias(out))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -142,8 +142,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: live values give way to a mark, examples stay; every document stays. n_chars follows the text."""
     some = F.coalesce(F.col("text"), F.lit("")).rlike("|".join(p for _, p, _ in KINDS))
-    found = scan(docs.where(some), docs.columns)
-    changed = found.withColumn("__new", redact(F.col("text"), F.col("spans")))
+    found = scan(docs.where(some), docs.columns, out="__found")
+    changed = found.withColumn("__new", redact(F.col("text"), F.col("__found")))
     new = {"text": F.col("__new"), "n_chars": F.when(F.col("__new") == F.col("text"), F.col("n_chars")).otherwise(F.length("__new").cast("long"))}
     changed = changed.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
     return docs.where(~some).unionByName(changed)
