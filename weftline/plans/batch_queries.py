@@ -351,6 +351,23 @@ def _(spark, d):
     return flat(find(trade_graph(spark, d, T0), p), "o", "c")
 
 
+TEXT = """
+private advance_in_place pattern unused { stage e { e.eventType = "view" } }
+pattern start { stage e { e.eventType = "signup" e.actor -> ?who e.value > 100 } }
+pattern end { stage e { e.eventType in ["purchase", "click"] e.actor -> ?who } unless after e { x.eventType = "error" x.actor -> ?who } }
+compose both = start >> end sharing(who)
+"""
+
+
+@query("text_document", f"WITH {E} SELECT a.id AS a_e, b.id AS b_e, a.u AS who FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND a.v > 100 AND b.y IN ('purchase', 'click') AND a.t < b.t AND NOT EXISTS (SELECT 1 FROM e n WHERE n.u = a.u AND n.y = 'error' AND n.t > b.t)")
+def _(spark, d):
+    """A composition in the text form, written out and read again."""
+    from ..dsl import parse_document, parse_pattern, pattern_to_dsl
+
+    p = parse_document(TEXT).pattern("both")
+    return flat(find(event_graph(spark, d), parse_pattern(pattern_to_dsl(p))), "a_e", "b_e", "who")
+
+
 # why not
 def _gaps(spark: SparkSession, d: str) -> DataFrame:
     b = event(PatternBuilder("w"), "e1", "signup")
