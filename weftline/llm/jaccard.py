@@ -34,6 +34,7 @@ from .components import components
 
 TILE = 8_000
 FILTER_BITS = 1 << 24
+KEY_BITS = 1 << 25
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -188,20 +189,31 @@ def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE) -> DataFra
     facts = cut(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, keys array<long>"), "sets")
     classes = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = cut(classes, "classes")
-    own = classes.select("digest", F.col("node").alias("doc_id"))
-    keyed = facts.select("digest", "doc_id", "keys").join(own, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    keyed = cut(keyed, "keys")
+    # keys that occur twice, copies' own included; then, of the rows that have such a key, those of different classes
+    often = facts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    likely = spark.sparkContext.broadcast(_filter(often, "key", KEY_BITS))
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = likely.value
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, sizes = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
+            some = np.flatnonzero(_there(held, flat))
+            rows = np.repeat(np.arange(len(sizes)), sizes)[some]
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(rows)), pa.array(flat[some])], names=["digest", "key"])
+
+    keyed = facts.where("doc_id IS NOT NULL").select("digest", "keys").mapInArrow(sieve, "digest binary, key long").distinct()
+    keyed = cut(keyed.join(classes, "digest").select("node", "key"), "keys")
     shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
     stars = keyed.join(shared, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     blocks = cut(components(stars).select("node", F.col("component").alias("block")), "blocks")
-    active = spark.sparkContext.broadcast(_filter(blocks))
+    active = spark.sparkContext.broadcast(_filter(blocks, "node", FILTER_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held = Shingler(n), active.value
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = _bit(ids)
-            own = (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            own = _there(held, ids)
             if not own.any():
                 continue
             sets = [shingles(batch.column("text")[int(i)].as_py()) for i in np.flatnonzero(own)]
@@ -216,20 +228,25 @@ def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE) -> DataFra
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64) + C1) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64) + C1) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _there(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bit(ids, 64 * len(bitmap))
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _filter(blocks: DataFrame) -> np.ndarray:
-    """A bitmap of hashed nodes, FILTER_BITS whatever their number; the join behind it is exact."""
+def _filter(df: DataFrame, column: str, size: int) -> np.ndarray:
+    """A bitmap of a column's hashed numbers, of one size whatever their count. It only saves shuffling: the join behind it is exact."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bit(batch.column("node").to_numpy())
+            at = _bit(batch.column(column).to_numpy(), size)
             yield pa.RecordBatch.from_pydict({"word": at >> 6, "bit": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
-    words = blocks.select("node").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    words = df.select(column).mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
