@@ -6,9 +6,10 @@
    more than the empty ranges of nearly all sets; a set with more than E also gives keys for its empty ranges, so nothing
    is lost. A set gives keys in its own band and in each band of larger sets that it can link with.
 3. Classes that share keys form blocks (connected components over stars, a linear number of edges).
-4. A block's tile compares its sets, smallest first: those of one known component are skipped, sizes and then bitmaps
+4. A block is cut into tiles by size band, a set being in its own band's and in those of larger sets that it can link
+   with. A tile compares its sets, smallest first: those of one known component are skipped, sizes and then bitmaps
    bound the overlap from above (differing bits need differing elements), and what is left is intersected exactly.
-   A block of over TILE sets is cut into tiles; then the smallest of each component meet, and where several components
+   A band of over TILE sets is cut into several tiles; then the smallest of each component meet, and where several components
    remain, every set outside the largest one meets all others, tile by tile. The union of all links found is exact.
 
 Defined results: a null or empty text, or one without words, has the empty set, links with nothing and is its own
@@ -220,7 +221,8 @@ def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], names=["node", "items", "digest"])
 
     arrays = docs.where("doc_id IS NOT NULL").mapInArrow(fetch, "node long, items binary, digest binary")
-    arrays = cut(arrays.join(blocks, "node").join(classes, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).drop("digest"), "arrays")
+    wanted = cut(blocks.join(classes, "node"), "wanted")
+    arrays = cut(arrays.join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).drop("digest"), "arrays")
     found = cut(compare(arrays, tile, num, den), "links")
     comps = components(found)
     of = classes.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -276,8 +278,14 @@ def compare(arrays: DataFrame, tile: int, num: int, den: int) -> DataFrame:
         dealt = tiles.repartition(parts, "block", "tile").sortWithinPartitions("block", "tile", "node")
         return dealt.select("block", "tile", "node", "items", "known").mapInArrow(run, "a long, b long")
 
-    sizes = arrays.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.ceil(F.col("n") / tile).cast("long").alias("cuts"))
-    arrays = arrays.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    # a set's tiles: its own size band, and each band of larger sets that it can link with
+    n = F.octet_length("items") / 8
+    own = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for i, (low, high, _, _) in enumerate(bands(num, den))]), lambda b: (n < b["high"]) & ((n >= b["low"]) | (n * den >= b["low"] * num)))
+    banded = arrays.select("node", "block", F.explode(F.transform(own, lambda b: b["i"])).alias("band"))
+    sizes = banded.groupBy("block", "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    large = cut(sizes.select(F.struct("block", "band").alias("block"), F.ceil(F.col("n") / tile).cast("long").alias("cuts")), "large")
+    arrays = arrays.withColumn("band", F.explode(F.transform(own, lambda b: b["i"]))).withColumn("block", F.struct("block", "band")).drop("band")
+    arrays = arrays.join(large, "block", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long"))).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cuts")))
     found = solved(arrays.withColumn("known", F.col("node")))
     large = arrays.where("cuts > 1")
     if large.isEmpty():
