@@ -1,0 +1,16 @@
+"""Operators do the whole job: no part of a text or a table is left out."""
+
+from weftline.llm import spotsigs
+
+
+def test_signatures_read_every_content_word():
+    plain = [f"слово{i}" for i in range(300)]
+    mixed = [w for i, c in enumerate(plain) for w in (["the", c] if i % 7 == 0 and i < 200 else [c])]
+    for ws in (plain, mixed):
+        own = spotsigs.signatures(" ".join(ws))
+        for i, w in enumerate(ws):
+            if w != "the":
+                other = spotsigs.signatures(" ".join([*ws[:i], "другое", *ws[i + 1 :]]))
+                assert spotsigs.likeness(own, other) < 1
+    own, other = (spotsigs.signatures(" ".join(x)) for x in (plain, plain[:5] + plain[:4:-1]))
+    assert spotsigs.likeness(own, other) < 0.1

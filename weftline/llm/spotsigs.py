@@ -1,7 +1,8 @@
 """SpotSigs fingerprints: chains of content words that follow frequent words.
 
 An anchor is a frequent word (of four languages) or the text's beginning; its signature is the anchor with the next CHAIN
-content words, every second one. A text's signatures form a set; its fingerprint is the set's size and the set's smallest
+content words, every second one, or fewer at the text's end. A content word that no anchor's chain reads begins a chain
+without an anchor, so every content word is read, whatever the language. A text's signatures form a set; its fingerprint is the set's size and the set's smallest
 KEEP hashes, and likeness is the Jaccard similarity of two sets, compared in one pass over the sorted hashes and left as
 soon as the sizes, or what is still to come, rule out the least likeness asked for.
 
@@ -38,14 +39,16 @@ def signatures(text: str | None) -> np.ndarray:
     content = [w for w in ws if w not in ANCHORS]
     if not content:
         return np.zeros(0, np.uint64)
+    reach = STEP * (CHAIN - 1) + 1
     spots, seen = [("", 0)], 0
     for w in ws:
         if w in ANCHORS:
             spots.append((w, seen))
         else:
             seen += 1
-    reach = STEP * (CHAIN - 1) + 1
-    chains = {f"{a}:{' '.join(content[i : i + reach : STEP])}" for a, i in spots if i + reach <= len(content)} or {":" + " ".join(content)}
+    read = {i + k for _, i in spots for k in range(0, reach, STEP)}
+    spots += [("", i) for i in range(seen) if i not in read]
+    chains = {f"{a}:{' '.join(content[i : i + reach : STEP])}" for a, i in spots if i < seen} if seen >= reach else {":" + " ".join(content)}
     h = xxhash.xxh64_intdigest
     return np.unique(np.array([h(c) for c in chains], np.uint64))
 
