@@ -1,6 +1,8 @@
 """Operators do the whole job: no part of a text or a table is left out."""
 
-from weftline.llm import spotsigs
+from pyspark.sql import functions as F
+
+from weftline.llm import lines, spotsigs
 
 
 def test_signatures_read_every_content_word():
@@ -14,3 +16,18 @@ def test_signatures_read_every_content_word():
                 assert spotsigs.likeness(own, other) < 1
     own, other = (spotsigs.signatures(" ".join(x)) for x in (plain, plain[:5] + plain[:4:-1]))
     assert spotsigs.likeness(own, other) < 0.1
+
+
+def test_short_units_of_copied_passages_go(spark):
+    passage = "He came.\nHe saw it all.\nThen he won. And he left again.\nAll of them had been waiting for him since the morning"
+    dense = "春が来た。花が咲いた。\n鳥が歌う。風が吹く"
+    docs = [
+        (1, "Opening of the first.\n" + passage + ".\nYes.\n" + dense),
+        (2, "Another start.\n" + passage + ". More here.\nNo.\nYes.\n他の行\n" + dense),
+        (3, "He came.\nOnly these short lines.\nYes.\nstand alone."),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    out = lines.repeated(df, whole=True).join(df, "doc_id").select("doc_id", lines.strip(F.col("text"), F.col("removed")).alias("t"))
+    got = {r.doc_id: r.t for r in out.collect()}
+    assert got[1] == docs[0][1] and got[3] == docs[2][1]
+    assert got[2] == "Another start.\nMore here.\nNo.\nYes.\n他の行\n"

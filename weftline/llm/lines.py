@@ -13,6 +13,9 @@ shuffled, and only units that occur again meet.
 
 from __future__ import annotations
 
+import re
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ from .common import BLANKS, BLANKS_SQL, cut, let, plain_columns, table
 LEAST_WORDS = 8
 LINE = "\n"
 SENTENCE = "[.!?][ \\t]+"
+#: What ends a sentence where whole passages are asked for: closing punctuation of scripts without spaces has no blank behind it.
+STOP = re.compile(r"[.!?][ \t]+|[。！？]")
+#: Characters of scripts without spaces; each counts as a word.
+DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+CLOSING = ".!?。！？… "
 SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -54,10 +62,48 @@ def units(text: Column, least: int = LEAST_WORDS) -> Column:
     return F.filter(hashed, lambda s: s.isNotNull())
 
 
-def repeated(df: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """One row a document: doc_id, n_units, and removed, the merged spans (start, end) of units that an earlier one equals."""
+def passages(text: str | None, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    """Like units, of whole passages: closing punctuation does not count, a character of a script without spaces counts as
+    a word, and pieces of fewer words than least stand in runs: from each the shortest run of consecutive pieces, forwards
+    and backwards, that has least words. A run is removed if the same run stands earlier, so each of its pieces survives."""
+    text, at, leaves, found = text or "", 0, [], set()
+    norm = lambda x: re.sub(BLANKS, " ", x.lower()).strip(" ").rstrip(CLOSING)
+    size = lambda n: sum(max(1, len(DENSE.findall(w))) for w in n.split(" ")) if n else 0
+
+    def add(start: int, end: int, key: str) -> None:
+        d = xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+        found.add((start, end, *(int.from_bytes(d[i : i + 8], "big", signed=True) for i in (0, 8))))
+
+    for line in text.split(LINE):
+        end = min(at + len(line) + 1, len(text))
+        n = norm(line)
+        if size(n) >= least:
+            add(at, end, n)
+        ends = [m.end() for m in STOP.finditer(line)]
+        for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
+            n = norm(line[a:b])
+            if n:
+                leaves.append((at + a, at + b, end if b == len(line) else at + b, a == 0, n, size(n)))
+        at = end
+    for i, leaf in enumerate(leaves):
+        for step in (1, -1):
+            j, total = i, leaf[5]
+            while total < least and 0 <= j + step < len(leaves):
+                j += step
+                total += leaves[j][5]
+            if total >= least:
+                first, last = leaves[min(i, j)], leaves[max(i, j)]
+                # the line feed behind a run goes only with a whole line, so that no two lines become one
+                add(first[0], last[2] if first[3] else last[1], " ".join(x[4] for x in leaves[min(i, j) : max(i, j) + 1]))
+    return sorted(found)
+
+
+def repeated(df: DataFrame, least: int = LEAST_WORDS, whole: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_units, and removed, the merged spans (start, end) of units that an earlier one equals.
+    With whole, the units are passages(), in which short pieces count too; the query and its SQL are without."""
     docs = plain_columns(df, ["doc_id", "text"])
-    held = cut(docs.select("doc_id", units(F.col("text"), least).alias("units"), F.monotonically_increasing_id().alias("row")), "units")
+    of = F.udf(lambda t: passages(t, least), "array<struct<start:bigint,end:bigint,a:bigint,b:bigint>>", useArrow=True)(F.col("text")) if whole else units(F.col("text"), least)
+    held = cut(docs.select("doc_id", of.alias("units"), F.monotonically_increasing_id().alias("row")), "units")
     each = held.select("doc_id", "row", F.explode("units").alias("u")).select("doc_id", "row", "u.*")
     twice = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     again = cut(each.join(twice, ["a", "b"], "left_semi").withColumn("r", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "start")), "again")
