@@ -1,5 +1,6 @@
 """Operators do the whole job: no part of a text or a table is left out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.llm import lines, spotsigs
@@ -18,6 +19,14 @@ def test_signatures_read_every_content_word():
     assert spotsigs.likeness(own, other) < 0.1
 
 
+def test_fingerprints_hold_the_whole_set():
+    a = np.arange(100, dtype=np.uint64)
+    b = np.append(a[:-1], np.uint64(500))
+    x, y = ([f.split(":")[1][k : k + 16] for k in range(0, 1600, 16)] for f in (spotsigs.fingerprint(a), spotsigs.fingerprint(b)))
+    assert x != y and [int(h, 16) for h in x] == a.tolist()
+    assert len(set(x) & set(y)) / len(set(x) | set(y)) == spotsigs.likeness(a, b)
+
+
 def test_short_units_of_copied_passages_go(spark):
     passage = "He came.\nHe saw it all.\nThen he won. And he left again.\nAll of them had been waiting for him since the morning"
     dense = "春が来た。花が咲いた。\n鳥が歌う。風が吹く"

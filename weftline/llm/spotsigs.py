@@ -2,9 +2,9 @@
 
 An anchor is a frequent word (of four languages) or the text's beginning; its signature is the anchor with the next CHAIN
 content words, every second one, or fewer at the text's end. A content word that no anchor's chain reads begins a chain
-without an anchor, so every content word is read, whatever the language. A text's signatures form a set; its fingerprint is the set's size and the set's smallest
-KEEP hashes, and likeness is the Jaccard similarity of two sets, compared in one pass over the sorted hashes and left as
-soon as the sizes, or what is still to come, rule out the least likeness asked for.
+without an anchor, so every content word is read, whatever the language. A text's signatures form a set; its fingerprint
+is the set's size and all its hashes, sorted, so that likenesses can be had from fingerprints. Likeness is the Jaccard
+similarity of two sets, compared in one pass over the sorted hashes.
 
 Defined results: a null or empty text, or one without content words, has the empty set and the fingerprint "0:"; two empty
 sets are alike (1.0) if both texts are empty of words, and an empty set is unlike any other; equal texts, repeated rows
@@ -29,7 +29,6 @@ from .quality import STOP_WORDS
 ANCHORS = frozenset(w.lower() for w in STOP_WORDS)
 CHAIN = 3
 STEP = 2
-KEEP = 32
 WORD = re.compile(r"\w+").findall
 
 
@@ -67,7 +66,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def fingerprint(s: np.ndarray) -> str:
-    return f"{len(s)}:" + "".join(f"{x:016x}" for x in s[:KEEP].tolist())
+    return f"{len(s)}:" + s.astype(">u8").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -77,6 +76,13 @@ def edited(text: str, following: str) -> str:
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
+#: Rows handed on at once; their fingerprints are longer than their texts.
+ROWS = 1000
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in OUT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +101,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if before is not None and before[0] == part:
                 out.append(row(*before, text, own))
             before = None if peek else (part, doc_id, text, own)
+            if len(out) == ROWS:
+                yield _batch(out)
+                out = []
         if out:
-            types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in OUT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+            yield _batch(out)
 
 
 def with_next(df: DataFrame, parts: int | None = None) -> DataFrame:
