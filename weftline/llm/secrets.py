@@ -111,9 +111,9 @@ def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "sour
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with the values of live spans replaced by a mark; overlapping values become one mark. spans by start."""
+    """The text with the values of all spans but examples replaced by a mark, those that look weak too; overlapping values become one mark. spans by start."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    live = F.array_sort(F.transform(F.filter(spans, lambda s: s["status"] == "live"), lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b"))))
+    live = F.array_sort(F.transform(F.filter(spans, lambda s: s["status"] != "example"), lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b"))))
 
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(MARK))
@@ -140,7 +140,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: live values give way to a mark, examples stay; every document stays. n_chars follows the text."""
+    """Pipeline stage: values of few owners give way to a mark, examples stay; every document stays. n_chars follows the text."""
     some = F.coalesce(F.col("text"), F.lit("")).rlike("|".join(p for _, p, _ in KINDS))
     found = scan(docs.where(some), docs.columns, out="__found")
     changed = found.withColumn("__new", redact(F.col("text"), F.col("__found")))
