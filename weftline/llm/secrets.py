@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns give candidate spans; each candidate's value is hashed, and hashes are counted over the whole corpus by distinct
-owners and repositories (here: sources and documents). A value that many owners have is a copied example; a value of few
-owners that looks random is taken for live. Opaque tokens, which no pattern names, are reported only when they are live.
+owners (here: sources). A value that many owners have is a copied example; a value of few owners that looks random is
+taken for live, however many repositories (documents) of its owners hold it. Opaque tokens, which no pattern names, are reported only when they are live.
 
 Defined results: null or empty text has no spans; a null owner or repository counts as one of its own; repeated rows are
 reported row by row and count once in the frequencies; an empty table gives none; other columns are carried through and
@@ -84,7 +84,7 @@ def candidates(text: Column) -> Column:
 
 
 def owners(held: DataFrame, owner: str, repo: str) -> DataFrame:
-    """hash, n_owners, n_repos over the corpus, from rows with __spans. Pairs are made distinct before hashes meet."""
+    """hash, n_owners, n_repos (which no status uses) over the corpus, from rows with __spans. Pairs are made distinct before hashes meet."""
     each = held.select(F.explode("__spans").alias("s"), F.struct(F.col(owner)).alias("o"), F.struct(F.col(repo)).alias("r"))
     pairs = each.select(F.col("s.hash").alias("hash"), "o", "r").distinct()
     by_owner = pairs.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("n"))
