@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,24 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of this machine only where the session names none, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). A session on this machine alone (local[...]), as in tests, gets a
+    folder of its own where it names none; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: later steps don't repeat the work, survive lost executors and see true sizes.
 
-    The files go when the driver's JVM ends."""
+    The files go when free() is told so, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def free(*cuts: DataFrame) -> None:
+    """Deletes the files of tables that cut() gave, once what was made of them is written."""
+    for df in cuts:
+        fs, at = _folder(df.sparkSession, df.cut_path)
+        fs.delete(at, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

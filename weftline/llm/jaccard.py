@@ -1,21 +1,24 @@
 """Exact Jaccard join of word n-gram sets: size-banded tiles, hashed bitmaps, sorted-array intersection.
 
-1. Documents with equal sets form a class (a digest, summed before it is shuffled); one stands for all.
+1. Documents with equal sets form a class (a digest, summed before it is shuffled); one stands for all, and of a task's
+   equal sets one gives keys. Keys go with 64 bits of the digest; where those meet by chance, sets are only compared.
 2. Candidates. Sets of a size band differ in at most H elements where they link, so that of k > H ranges of the hash space
    one at least holds the same elements in both: each non-empty range's content is hashed to a key. k is H + 1 + E, with E
    more than the empty ranges of nearly all sets; a set with more than E also gives keys for its empty ranges, so nothing
    is lost. A set gives keys in its own band and in each band of larger sets that it can link with.
-3. Classes that share keys form blocks (connected components over stars, a linear number of edges).
-4. A block is cut into tiles by size band, a set being in its own band's and in those of larger sets that it can link
-   with. A tile compares its sets, smallest first: those of one known component are skipped, sizes and then bitmaps
-   bound the overlap from above (differing bits need differing elements), and what is left is intersected exactly.
-   A band of over TILE sets is cut into several tiles; then the smallest of each component meet, and where several components
-   remain, every set outside the largest one meets all others, tile by tile. The union of all links found is exact.
+3. Sets that share keys form blocks (connected components over stars, a linear number of edges).
+4. A block that fits one tile, by the number of its sets and by their bytes, is one. Of a larger block, the sets that
+   share the leading set of a key form a tile for each size band (a key belongs to one band), so that sets which only a
+   chain of others connects don't meet. A tile compares its sets, smallest first: those of one known component are
+   skipped, sizes and then bitmaps bound the overlap from above (differing bits need differing elements), and what is left
+   is intersected exactly. Such a group beyond one tile is cut into several; then the smallest of each component meet, and
+   where several components remain, every set outside the largest one meets all others, tile by tile. The union of all
+   links found is exact. Tiles are planned over ids and sizes; texts are dealt to them, and sets made there.
 
 Defined results: a null or empty text, or one without words, has the empty set, links with nothing and is its own
-component; a text of fewer words than n is one shingle; ties and repeated rows are members of one class; a row without
-doc_id has the component of the rows with an equal set, and null if there are none, and carries no link; an empty table
-gives no rows; other columns are not read.
+component; a text of fewer words than n is one shingle; ties and repeated rows are members of one class; rows that repeat
+a doc_id with other texts are one document, linked where one of them is; a row without doc_id has the component of the rows
+with an equal set, and null if there are none, and carries no link; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, plain_columns, table
+from .common import cut, free, plain_columns, table
 from .components import components
 
+#: Most sets, and most bytes of sets, that meet in one tile.
 TILE = 8_000
+TILE_BYTES = 24_000_000
+#: Bytes of a set beside its hashes: bitmap, digest, objects.
+SET_BYTES = 700
+#: More than the size bands; a power of two.
+BANDS = 128
 FILTER_BITS = 1 << 24
 KEY_BITS = 1 << 25
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -98,7 +107,7 @@ def _ranges(k: int) -> np.ndarray:
 
 
 def band_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set's tiles."""
+    """The keys of a set, each with its size band in the lowest bits."""
     n, out = len(s), []
     mixed = mix(s + C1)
     for g, (low, high, k, e) in enumerate(bands(num, den)):
@@ -112,9 +121,10 @@ def band_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         full = np.diff(at, append=n) > 0
         salt = np.arange(k, dtype=np.uint64) * C1 + np.uint64(g << 40)
         sums = np.add.reduceat(mixed, at[full])
-        out.append(mix(sums + mix(salt[full])))
+        own = [mix(sums + mix(salt[full]))]
         if k - int(full.sum()) > e:
-            out.append(mix(~mix(salt[~full])))
+            own.append(mix(~mix(salt[~full])))
+        out += [(x & ~np.uint64(BANDS - 1)) | np.uint64(g) for x in own]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -167,31 +177,37 @@ def solve(nodes: list[int], sets: list[np.ndarray], known: list[int], num: int,
     return found
 
 
-def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE) -> DataFrame:
+def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
     spark = df.sparkSession
     docs = plain_columns(df, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(n)
+        shingles, seen = Shingler(n), set()
+        none = np.zeros(0, np.int64)
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch.column("text"):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 s = shingles(text.as_py())
+                digest = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(band_keys(s, num, den).view(np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                digests.append(digest)
+                # equal sets have equal keys: one of a task's shows them
+                first = len(s) and doc_id is not None and digest not in seen
+                keys.append(band_keys(s, num, den).view(np.int64) if first else none)
+                if first:
+                    seen.add(digest)
+            flat = np.concatenate(keys) if keys else none
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            ids = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_shingles", "digest", "keys"]
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "n_shingles", "digest", "id", "keys"],
             )
 
-    facts = cut(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, keys array<long>"), "sets")
-    classes = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = cut(classes, "classes")
-    # keys that occur twice, copies' own included; then, of the rows that have such a key, those of different classes
-    often = facts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    every = cut(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, id long, keys array<long>"), "sets")
+    # keys that occur twice, copies' own included; then, of the rows that have such a key, those of different sets
+    often = every.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     likely = spark.sparkContext.broadcast(_filter(often, "key", KEY_BITS))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,29 +217,22 @@ def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE) -> DataFra
             flat, sizes = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
             some = np.flatnonzero(_there(held, flat))
             rows = np.repeat(np.arange(len(sizes)), sizes)[some]
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(rows)), pa.array(flat[some])], names=["digest", "key"])
-
-    keyed = facts.where("doc_id IS NOT NULL").select("digest", "keys").mapInArrow(sieve, "digest binary, key long").distinct()
-    keyed = cut(keyed.join(classes, "digest").select("node", "key"), "keys")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
-    stars = keyed.join(shared, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    blocks = cut(components(stars).select("node", F.col("component").alias("block")), "blocks")
-    active = spark.sparkContext.broadcast(_filter(blocks, "node", FILTER_BITS))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held = Shingler(n), active.value
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = _there(held, ids)
-            if not own.any():
-                continue
-            sets = [shingles(batch.column("text")[int(i)].as_py()) for i in np.flatnonzero(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], names=["node", "items", "digest"])
-
-    arrays = docs.where("doc_id IS NOT NULL").mapInArrow(fetch, "node long, items binary, digest binary")
-    wanted = cut(blocks.join(classes, "node"), "wanted")
-    arrays = cut(arrays.join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).drop("digest"), "arrays")
-    found = cut(compare(arrays, tile, num, den), "links")
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(flat[some])], names=["id", "key"])
+
+    keyed = cut(every.where("size(keys) > 0").select("id", "keys").mapInArrow(sieve, "id long, key long"), "keys")
+    likely.destroy()
+    facts = cut(every.select("doc_id", "n_shingles", "digest", "id"), "facts")
+    free(every)
+    leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    band = F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band")
+    stars = cut(keyed.join(leads, "key").select("id", "lead", band).distinct(), "stars")
+    free(keyed)
+    blocks = components(stars.select(F.col("id").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("block"))
+    classes = cut(facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles")), "classes")
+    # a set's share of a tile, by count and by bytes
+    weight = F.greatest(F.lit(1.0 / tile), (F.col("n_shingles") * 8 + SET_BYTES) / tile_bytes)
+    active = cut(classes.join(blocks, "id").withColumn("weight", weight), "active")
+    found = cut(compare(docs, active, stars, n, num, den), "links")
     comps = components(found)
     of = classes.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = facts.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
@@ -247,68 +256,95 @@ def _filter(df: DataFrame, column: str, size: int) -> np.ndarray:
             at = _bit(batch.column(column).to_numpy(), size)
             yield pa.RecordBatch.from_pydict({"word": at >> 6, "bit": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
-    words = df.select(column).mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = df.select(column).mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def compare(arrays: DataFrame, tile: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the sets of each block, of rows (node, items, block); enough of them for its components."""
+def solved(docs: DataFrame, tiles: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) found in tiles, of rows (tile, node, digest, known). Texts are dealt to their tiles, which are smaller
+    than the sets, and the sets are made there again; a text whose set has another digest is another row of its doc_id."""
+    spark = docs.sparkSession
+    active = spark.sparkContext.broadcast(_filter(tiles, "node", FILTER_BITS))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sent = active.value, set()
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            keep = []
+            for i in np.flatnonzero(_there(held, ids)).tolist():
+                mark = (int(ids[i]), xxhash.xxh3_64_intdigest(batch.column("text")[i].as_py() or b""))
+                if mark not in sent:
+                    sent.add(mark)
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("doc_id", "text")], names=["node", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        shingles, now = Shingler(n), None
+        held: dict[bytes, tuple[int, int, np.ndarray]] = {}
 
         def done() -> pa.RecordBatch:
-            got = solve([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], [r[2] for r in rows], num, den) if len(rows) > 1 else []
+            rows = list(held.values())
+            got = solve([r[0] for r in rows], [r[2] for r in rows], [r[1] for r in rows], num, den) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for t, u, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "tile", "node", "items", "known")), strict=True):
-                if (t, u) != now:
-                    if rows:
+            for i, t in enumerate(batch.column("tile").to_pylist()):
+                if t != now:
+                    if held:
                         yield done()
-                    now, rows = (t, u), []
-                rows.append(row)
-        if rows:
+                    now, held = t, {}
+                digest = batch.column("digest")[i].as_py()
+                if digest not in held:
+                    s = shingles(batch.column("text")[i].as_py())
+                    if xxhash.xxh3_128_digest(s.tobytes()) == digest:
+                        held[digest] = (batch.column("node")[i].as_py(), batch.column("known")[i].as_py(), s)
+        if held:
             yield done()
 
-    def solved(tiles: DataFrame) -> DataFrame:
-        parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = tiles.repartition(parts, "block", "tile").sortWithinPartitions("block", "tile", "node")
-        return dealt.select("block", "tile", "node", "items", "known").mapInArrow(run, "a long, b long")
-
-    # a set's tiles: its own size band, and each band of larger sets that it can link with
-    n = F.octet_length("items") / 8
-    own = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for i, (low, high, _, _) in enumerate(bands(num, den))]), lambda b: (n < b["high"]) & ((n >= b["low"]) | (n * den >= b["low"] * num)))
-    banded = arrays.select("node", "block", F.explode(F.transform(own, lambda b: b["i"])).alias("band"))
-    sizes = banded.groupBy("block", "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    large = cut(sizes.select(F.struct("block", "band").alias("block"), F.ceil(F.col("n") / tile).cast("long").alias("cuts")), "large")
-    arrays = arrays.withColumn("band", F.explode(F.transform(own, lambda b: b["i"]))).withColumn("block", F.struct("block", "band")).drop("band")
-    arrays = arrays.join(large, "block", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long"))).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    found = solved(arrays.withColumn("known", F.col("node")))
-    large = arrays.where("cuts > 1")
-    if large.isEmpty():
+    texts = docs.where("doc_id IS NOT NULL").mapInArrow(fetch, "node long, text binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.join(tiles, "node").select("tile", "node", "digest", "known", "text").repartition(parts, "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def compare(docs: DataFrame, active: DataFrame, stars: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the sets of each block, of rows (node, id, digest, weight, block); enough of them for its components."""
+    whole = F.col("w") <= 1
+    active = active.join(active.groupBy("block").agg(F.sum("weight").alias("w")), "block")
+    small = active.where(whole).select("node", "digest", F.col("block").cast("string").alias("tile"))
+    # of a larger block, the sets that share a key, which has a size band, meet
+    groups = stars.select("id", "lead", "band").unionByName(stars.select(F.col("lead").alias("id"), "lead", "band")).distinct()
+    large = cut(active.where(~whole).join(groups, "id").select("node", "digest", "weight", F.concat_ws("/", "lead", "band").alias("tile")), "large")
+    cuts = large.groupBy("tile").agg(F.ceil(F.sum("weight")).cast("long").alias("cuts"))
+    large = large.join(cuts, "tile").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    first = small.unionByName(large.select("node", "digest", F.concat_ws("/", "tile", "part").alias("tile")))
+    found = cut(solved(docs, cut(first.withColumn("known", F.col("node")), "tiles"), n, num, den), "links")
+    hot = large.where("cuts > 1")
+    if hot.isEmpty():
         return found
-    found = cut(found, "links")
+    hot = cut(hot, "hot")
     for leaders in (True, False):
-        comps = components(found)
-        state = large.join(comps, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
-        counts = state.groupBy("block", "known").agg(F.count(F.lit(1)).alias("m"))
-        best = counts.groupBy("block").agg(F.max(F.struct("m", "known"))["known"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        state = state.join(best, "block")
+        state = hot.join(components(found), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+        counts = state.groupBy("tile", "known").agg(F.count(F.lit(1)).alias("m"))
+        best = counts.groupBy("tile").agg(F.max(F.struct("m", "known"))["known"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        state = cut(state.join(best, "tile"), "state")
         if leaders:
-            tiles = state.where("node = known").withColumn("tile", F.pmod(F.xxhash64("known"), F.ceil(F.col("comps") / tile)))
+            own = state.where("node = known")
+            parts = own.groupBy("tile").agg(F.ceil(F.sum("weight")).cast("long").alias("parts"))
+            tiles = own.join(parts, "tile").withColumn("tile", F.concat_ws("/", "tile", F.pmod(F.xxhash64("known"), F.col("parts"))))
         else:
-            # every set outside the main component, in tiles of its own, meets every tile of the block
+            # every set outside the main component, in tiles of its own, meets every tile of the group
             rest = state.where("known <> main")
-            many = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("rests"))
-            rest = rest.join(many, "block").withColumn("r", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")))
+            many = rest.groupBy("tile").agg(F.ceil(F.sum("weight")).cast("long").alias("rests"))
+            rest = rest.join(many, "tile").withColumn("r", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")))
             rest = rest.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-            all_ = state.join(many, "block").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1))).withColumn("t", F.col("tile"))
-            keep = ["block", "node", "items", "known", "r", "t"]
-            tiles = all_.select(*keep).unionByName(rest.select(*keep)).dropDuplicates(["block", "node", "r", "t"]).withColumn("tile", F.concat_ws("-", "r", "t"))
-        found = cut(found.unionByName(solved(tiles)), "links")
+            all_ = state.join(many, "tile").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1))).withColumn("t", F.col("part"))
+            keep = ["tile", "node", "digest", "known", "r", "t"]
+            tiles = all_.select(*keep).unionByName(rest.select(*keep)).distinct().withColumn("tile", F.concat_ws("/", "tile", "r", "t"))
+        found = cut(found.unionByName(solved(docs, cut(tiles.select("node", "digest", "tile", "known"), "tiles"), n, num, den)), "links")
     return found
 
 
