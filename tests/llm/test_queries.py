@@ -100,6 +100,36 @@ def test_band_keys_lose_no_pair():
                 assert np.intersect1d(jaccard.band_keys(a, 85, 100), jaccard.band_keys(b, 85, 100)).size, (len(a), len(b))
 
 
+def test_linked_sets_share_as_many_keys_as_they_need():
+    """In the larger set's band, both of a linked pair share the keys without which they are left out."""
+    r = np.random.default_rng(2)
+    for size in (8, 20, 64, 150, 181, 400, 900):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+            gone, more = (int(x) for x in r.integers(0, size // 12 + 1, 2))
+            b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**63, more).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+            if np.array_equal(a, b) or not jaccard.links(a, b, 85, 100):
+                continue
+            (x, nx), (y, ny) = (jaccard.banded(s, 85, 100) for s in (a, b))
+            shared = Counter((np.intersect1d(x, y) & np.uint64(jaccard.BANDS - 1)).tolist())
+            assert any(shared[g] >= max(k, dict(ny)[g]) for g, k in nx if g in dict(ny)), (len(a), len(b))
+
+
+def test_meeting_streams_keys_over_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    rows = sorted((int(k) * jaccard.BANDS + 3, int(i)) for k, i in zip(r.integers(0, 40, 400), r.integers(0, 30, 400), strict=True))
+    ids = {}
+    for k, i in rows:
+        ids.setdefault(k, set()).add(i)
+    want = Counter((i, min(own), 3) for own in ids.values() if len(own) > 1 for i in own)
+    for step in (1, 2, 7, 1000):
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = (pa.RecordBatch.from_arrays([pa.array([x[c] for x in p], pa.int64()) for c in (0, 1)], names=["key", "id"]) for p in [[], *parts])
+        assert Counter(tuple(x.values()) for b in jaccard.meet(batches) for x in b.to_pylist()) == want
+
+
 def check_repeats(got, docs):
     gone = rindex.brute([(t or "").encode() for _, t in docs])
     want = Counter()

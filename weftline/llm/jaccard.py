@@ -6,6 +6,8 @@
    one at least holds the same elements in both: each non-empty range's content is hashed to a key. k is H + 1 + E, with E
    more than the empty ranges of nearly all sets; a set with more than E also gives keys for its empty ranges, so nothing
    is lost. A set gives keys in its own band and in each band of larger sets that it can link with.
+   Links leave at least m - H of a set's m keys shared: sets with fewer, and keys left to one set, go. Keys are sorted
+   and streamed, so that a key which many sets have needs no memory; one of N sets is at most one row in hundreds.
 3. Sets that share keys form blocks (connected components over stars, a linear number of edges).
 4. A block that fits one tile, by the number of its sets and by their bytes, is one. Of a larger block, the sets that
    share the leading set of a key form a tile for each size band (a key belongs to one band), so that sets which only a
@@ -43,8 +45,8 @@ TILE_BYTES = 24_000_000
 SET_BYTES = 700
 #: More than the size bands; a power of two.
 BANDS = 128
+NEEDS = pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32())]))
 FILTER_BITS = 1 << 24
-KEY_BITS = 1 << 25
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -106,9 +108,10 @@ def _ranges(k: int) -> np.ndarray:
     return np.array([(j << 64) // k for j in range(k)], np.uint64)
 
 
-def band_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set, each with its size band in the lowest bits."""
-    n, out = len(s), []
+def banded(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The keys of a set, each with its size band in the lowest bits; and (band, need): how many keys of the band at least
+    are shared with any set that it links with there."""
+    n, out, needs = len(s), [], []
     mixed = mix(s + C1)
     for g, (low, high, k, e) in enumerate(bands(num, den)):
         if high <= n:
@@ -121,11 +124,45 @@ def band_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         full = np.diff(at, append=n) > 0
         salt = np.arange(k, dtype=np.uint64) * C1 + np.uint64(g << 40)
         sums = np.add.reduceat(mixed, at[full])
-        own = [mix(sums + mix(salt[full]))]
-        if k - int(full.sum()) > e:
+        own, held = [mix(sums + mix(salt[full]))], int(full.sum())
+        # k - 1 - e ranges at most differ, so that the others' content is shared where it isn't empty
+        if k - held > e:
             own.append(mix(~mix(salt[~full])))
+            needs.append((g, 1))
+        else:
+            needs.append((g, held - (k - 1 - e)))
         out += [(x & ~np.uint64(BANDS - 1)) | np.uint64(g) for x in own]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), needs
+
+
+def band_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    return banded(s, num, den)[0]
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id) sorted by both, to (id, lead, band) of every key that different ids have; lead: its smallest id, which
+    is among the ids. A key is streamed, however many rows it has."""
+    key, lead, last_id, shown = None, None, None, False
+    for batch in batches:
+        keys, ids = (batch.column(c).to_numpy() for c in ("key", "id"))
+        new = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new)  # 0: goes on from the batch before
+        leads = np.concatenate([[lead if lead is not None else 0], ids[starts]]).astype(np.int64)[group]
+        same = np.concatenate([[ids[0] == last_id], ids[1:] == ids[:-1]]) & ~new
+        other = (ids != leads) & ~same
+        first = np.unique(group[other], return_index=True)[1]
+        at = np.flatnonzero(other)[first]  # the first row of each group that has another id
+        tell = at if not (shown and len(at) and group[at[0]] == 0) else at[1:]
+        out_id = np.concatenate([ids[other], leads[tell]])
+        out_lead = np.concatenate([leads[other], leads[tell]])
+        band = (np.concatenate([keys[other], keys[tell]]) & (BANDS - 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_lead), pa.array(band)], names=["id", "lead", "band"])
+        last = group[-1]
+        shown = bool((group[at] == last).any()) or (shown and last == 0)
+        key, lead, last_id = keys[-1], leads[-1], ids[-1]
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -186,48 +223,40 @@ def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE, tile_bytes
         shingles, seen = Shingler(n), set()
         none = np.zeros(0, np.int64)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, needs = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 s = shingles(text.as_py())
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
                 digests.append(digest)
-                # equal sets have equal keys: one of a task's shows them
-                first = len(s) and doc_id is not None and digest not in seen
-                keys.append(band_keys(s, num, den).view(np.int64) if first else none)
-                if first:
+                own, need = none, []
+                if len(s) and doc_id is not None and digest not in seen:  # equal sets have equal keys: one of a task's shows them
+                    own, need = banded(s, num, den)
                     seen.add(digest)
+                keys.append(own.view(np.int64))
+                needs.append([{"band": g, "need": k} for g, k in need])
             flat = np.concatenate(keys) if keys else none
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             ids = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "digest", "id", "keys"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(needs, NEEDS)],
+                names=["doc_id", "n_shingles", "digest", "id", "keys", "needs"],
             )
 
-    every = cut(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, id long, keys array<long>"), "sets")
-    # keys that occur twice, copies' own included; then, of the rows that have such a key, those of different sets
-    often = every.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    likely = spark.sparkContext.broadcast(_filter(often, "key", KEY_BITS))
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = likely.value
-        for batch in batches:
-            keys = batch.column("keys")
-            flat, sizes = keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy())
-            some = np.flatnonzero(_there(held, flat))
-            rows = np.repeat(np.arange(len(sizes)), sizes)[some]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(flat[some])], names=["id", "key"])
-
-    keyed = cut(every.where("size(keys) > 0").select("id", "keys").mapInArrow(sieve, "id long, key long"), "keys")
-    likely.destroy()
-    facts = cut(every.select("doc_id", "n_shingles", "digest", "id"), "facts")
+    every = cut(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, id long, keys array<long>, needs array<struct<band:int,need:int>>"), "sets")
+    facts = cut(every.drop("keys"), "facts")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = every.select("id", F.explode("keys").alias("key")).repartition(parts, "key").sortWithinPartitions("key", "id")
+    stars = cut(keyed.mapInArrow(meet, "id long, lead long, band int").groupBy("id", "lead", "band").agg(F.count(F.lit(1)).alias("n")), "stars")
     free(every)
-    leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    band = F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band")
-    stars = cut(keyed.join(leads, "key").select("id", "lead", band).distinct(), "stars")
-    free(keyed)
+    needs = facts.select("id", F.explode("needs").alias("x")).groupBy("id", "x.band").agg(F.min("x.need").alias("need"))
+    for _ in range(2):  # every set that goes leaves fewer shared keys to the others
+        enough = stars.groupBy("id", "band").agg(F.sum("n").alias("own")).join(needs, ["id", "band"]).where("own >= need").select("id", "band")
+        left = stars.join(enough, ["id", "band"], "left_semi")
+        met = left.groupBy("lead", "band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("lead", "band")
+        stars = cut(left.join(met, ["lead", "band"], "left_semi"), "stars")
     blocks = components(stars.select(F.col("id").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("block"))
+    blocks = blocks.join(stars.select("id").distinct(), "id", "left_semi")
     classes = cut(facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles")), "classes")
     # a set's share of a tile, by count and by bytes
     weight = F.greatest(F.lit(1.0 / tile), (F.col("n_shingles") * 8 + SET_BYTES) / tile_bytes)
@@ -316,8 +345,7 @@ def compare(docs: DataFrame, active: DataFrame, stars: DataFrame, n: int, num: i
     active = active.join(active.groupBy("block").agg(F.sum("weight").alias("w")), "block")
     small = active.where(whole).select("node", "digest", F.col("block").cast("string").alias("tile"))
     # of a larger block, the sets that share a key, which has a size band, meet
-    groups = stars.select("id", "lead", "band").unionByName(stars.select(F.col("lead").alias("id"), "lead", "band")).distinct()
-    large = cut(active.where(~whole).join(groups, "id").select("node", "digest", "weight", F.concat_ws("/", "lead", "band").alias("tile")), "large")
+    large = cut(active.where(~whole).join(stars.select("id", "lead", "band"), "id").select("node", "digest", "weight", F.concat_ws("/", "lead", "band").alias("tile")), "large")
     cuts = large.groupBy("tile").agg(F.ceil(F.sum("weight")).cast("long").alias("cuts"))
     large = large.join(cuts, "tile").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")))
     first = small.unionByName(large.select("node", "digest", F.concat_ws("/", "tile", "part").alias("tile")))
