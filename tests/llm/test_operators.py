@@ -38,7 +38,8 @@ def test_chat_grammar(spark):
     rows_ = [(i, t, role, x) for i, x in enumerate(texts) for t, role in enumerate(["user", "assistant"])]
     for r in chat.format_chats(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")).collect():
         assert [(p.role, p.text) for p in r.parsed] == [(t.role, t.text) for t in r.turns]
-        assert r.level == int("</s>" in texts[r.conv_id])
+        assert r.level == int(any(c in texts[r.conv_id] for c in chat.CONTROLS))
+        assert sum(r.formatted.count(c) for c in chat.CONTROLS) == 1 + 3 * len(r.turns)  # the template's alone
         for p in r.parsed:
             raw = r.formatted[p.start : p.start + p.length]
             assert raw == p.text or r.level

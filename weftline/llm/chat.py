@@ -2,9 +2,11 @@
 
     formatted := OPEN[level] turn*          turn := "[INST]" role "[/INST]" text "</s>"
 
-Level 0 writes texts as they are. A deterministic parser reads the result back; where what it finds is not what went in,
-the conversation is rendered again at level 1, whose texts have every opening character of a control string and the
-escape character itself replaced, and is parsed again. The opening names the level, so that reading needs nothing else.
+Level 0 writes texts as they are; only conversations without any control string in a text or role are rendered so. Level 1
+replaces every opening character of a control string and the escape character itself, so that the only control strings of
+a formatted text are the template's. A deterministic parser reads the result back; where level 0 gives anything but what
+went in, level 1 is taken, and a level 1 that does not read back identically is an error. The opening names the level, so
+that reading needs nothing else. Offsets are prefix sums in blocks, and texts are cut by chunks: time is linear in a text.
 
 Defined results: a null text or role is empty; turns go by turn (null first), then role, then text, and repeated rows
 stay; rows without conv_id form one conversation; an empty table gives none; other columns are not read.
@@ -12,13 +14,17 @@ stay; rows without conv_id form one conversation; an empty table gives none; oth
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, plain_columns, table
+from .common import cutter, let, plain_columns, prefix_sums, table
 
 OPEN = ("<s>", "<s+>")
 HEAD, HEAD_END, TURN_END = "[INST]", "[/INST]", "</s>"
+CONTROLS = (*OPEN, HEAD, HEAD_END, TURN_END)
 #: Escapes: no control string can stand in a text without "<" and "[".
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
 
@@ -53,12 +59,7 @@ def parse(formatted: Column) -> Column:
 
     def read(ps: Column) -> Column:
         bodies = F.slice(ps, F.lit(1), F.size(ps) - 1)
-        starts = F.aggregate(
-            bodies,
-            F.struct((opening + 0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-            lambda acc, p: F.struct((acc["at"] + F.length(p) + len(TURN_END)).cast("long").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-            lambda acc: acc["all"],
-        )
+        starts = prefix_sums(F.transform(bodies, lambda p: F.length(p) + len(TURN_END)), opening)
 
         def turn(p: Column, at: Column) -> Column:
             end = F.instr(p, HEAD_END)
@@ -83,17 +84,21 @@ def format_chats(rows: DataFrame) -> DataFrame:
     filled = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     chats = filled.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     plain = chats.withColumn("plain", render(F.col("turns"), 0))
+    controlled = lambda x: reduce(or_, [F.contains(x, F.lit(c)) for c in CONTROLS])
+    hard = F.exists("turns", lambda t: controlled(t["text"]) | controlled(t["role"]))
     same = lambda parsed: F.transform(parsed, lambda p: F.struct(p["role"], p["text"])).eqNullSafe(F.transform(F.col("turns"), lambda t: F.struct(t["role"], t["text"])))
-    level = F.when(same(parse(F.col("plain"))), 0).otherwise(1)
+    level = F.when(~hard & same(parse(F.col("plain"))), 0).otherwise(1)
     done = plain.withColumn("level", level).withColumn("formatted", F.when(F.col("level") == 0, F.col("plain")).otherwise(render(F.col("turns"), 1)))
-    return done.withColumn("parsed", parse(F.col("formatted"))).drop("plain")
+    done = done.withColumn("parsed", parse(F.col("formatted")))
+    bad = F.raise_error(F.lit("a formatted conversation does not read back as it was")).cast("string")
+    return done.withColumn("formatted", F.when(same(F.col("parsed")), F.col("formatted")).otherwise(bad)).drop("plain")
 
 
 def loss_text(formatted: Column, parsed: Column) -> Column:
     """All text under the loss mask (assistant turns), cut from the formatted text by span and unescaped."""
     spans = F.filter(parsed, lambda p: p["role"] == "assistant")
-    cut = lambda p: F.substring(formatted, p["start"] + 1, p["length"])
-    return F.array_join(F.transform(spans, lambda p: F.when(formatted.startswith(OPEN[1]), unescape(cut(p))).otherwise(cut(p))), "")
+    back = lambda x: F.when(formatted.startswith(OPEN[1]), unescape(x)).otherwise(x)
+    return cutter(formatted, lambda cut: F.array_join(F.transform(spans, lambda p: back(cut(p["start"], p["length"]))), ""))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +130,7 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 g AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-  bool_or(contains(text, '{TURN_END}') OR contains(role, '{TURN_END}') OR contains(role, '{HEAD_END}')) AS hard,
+  bool_or({' OR '.join(f"contains({x}, '{c}')" for x in ('text', 'role') for c in CONTROLS)}) AS hard,
   sum(length(role) + length(text) + {len(HEAD + HEAD_END + TURN_END)})::BIGINT AS plain_chars,
   sum(length({put('role')}) + length({put('text')}) + {len(HEAD + HEAD_END + TURN_END)})::BIGINT AS escaped_chars
   FROM r GROUP BY conv_id)

@@ -64,6 +64,66 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def prefix_sums(xs: Column, start: Column | int = 0, block: int = 256) -> Column:
+    """start plus the sum of all numbers before each, for an array of numbers. Blocks are summed by themselves and then moved:
+    appending one by one to a whole array would take time in the square of its length."""
+    zero = lambda at: F.struct(F.lit(0).cast("long").alias("at") if at is None else at.cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+
+    def run(values: Column, at: Column | None = None) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).cast("long").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(values, zero(at), step)
+
+    first = F.lit(start) if isinstance(start, int) else start
+
+    def long(values: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: run(F.slice(values, b * block + 1, F.lit(block))))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, run(F.transform(bs, lambda b: b["at"]), first)["all"], lambda b, at: F.transform(b["all"], lambda x: x + at))))
+
+    return let(xs, lambda values: F.when(F.size(values) <= block, run(values, first)["all"]).otherwise(long(values)))
+
+
+def running_max(xs: Column, block: int = 256) -> Column:
+    """The largest number so far at each place of an array, block by block like prefix_sums()."""
+    least = F.lit(-(2**62)).cast("long")
+
+    def run(values: Column) -> Column:
+        step = lambda acc, x: let(F.greatest(acc["at"], x), lambda m: F.struct(m.alias("at"), F.concat(acc["all"], F.array(m)).alias("all")))
+        return F.aggregate(values, F.struct(least.alias("at"), F.array().cast("array<bigint>").alias("all")), step)
+
+    def long(values: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: run(F.slice(values, b * block + 1, F.lit(block))))
+        before = lambda bs: F.concat(F.array(least), run(F.transform(bs, lambda b: b["at"]))["all"])
+        return let(blocks, lambda bs: let(before(bs), lambda ms: F.flatten(F.transform(bs, lambda b, i: F.transform(b["all"], lambda x: F.greatest(x, F.get(ms, i)))))))
+
+    return let(xs, lambda values: F.when(F.size(values) <= block, run(values)["all"]).otherwise(long(values)))
+
+
+CHUNK = 1024
+
+
+def cutter(text: Column, use: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """use(cut), where cut(start, n) is the text's n characters from start on. Texts are cut into chunks once, so that a cut
+    costs what it is long and not what stands before it."""
+
+    def of(chunks: Column) -> Column:
+        def cut(start: Column, n: Column) -> Column:
+            first = F.floor(start / CHUNK).cast("int")
+            held = F.array_join(F.slice(chunks, first + 1, F.floor((start + n) / CHUNK).cast("int") - first + 1), "")
+            return F.substring(held, (start - first * CHUNK + 1).cast("int"), n.cast("int"))
+
+        return use(cut)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), of)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it (case aside)."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
