@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, BLANKS_SQL, cut, let, plain_columns, table
+from .common import BLANKS, BLANKS_SQL, cut, cutter, let, plain_columns, prefix_sums, running_max, table
 
 #: A unit of fewer words is never removed.
 LEAST_WORDS = 8
@@ -39,13 +39,7 @@ def _pieces(text: Column, separator: str, base: Column) -> Column:
 
     def of(ps: Column, gs: Column) -> Column:
         sized = F.transform(ps, lambda p, i: F.struct(p.alias("body"), (F.length(p) + F.coalesce(F.length(F.get(gs, i)), F.lit(0))).cast("long").alias("n")))
-        starts = F.aggregate(
-            sized,
-            F.struct(base.cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-            lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-            lambda acc: acc["all"],
-        )
-        return F.zip_with(sized, starts, lambda x, at: F.struct(at.alias("start"), (at + x["n"]).alias("end"), x["body"].alias("body")))
+        return let(sized, lambda xs: F.zip_with(xs, prefix_sums(F.transform(xs, lambda x: x["n"]), base), lambda x, at: F.struct(at.alias("start"), (at + x["n"]).alias("end"), x["body"].alias("body"))))
 
     return let(F.split(text, separator), lambda ps: let(gaps, lambda gs: of(ps, gs)))
 
@@ -107,30 +101,42 @@ def repeated(df: DataFrame, least: int = LEAST_WORDS, whole: bool = False) -> Da
     each = held.select("doc_id", "row", F.explode("units").alias("u")).select("doc_id", "row", "u.*")
     twice = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     again = cut(each.join(twice, ["a", "b"], "left_semi").withColumn("r", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "start")), "again")
-    first = again.groupBy("a", "b").agg(F.min("r").alias("first"))
-    later = again.join(first, ["a", "b"]).where(~F.col("r").eqNullSafe(F.col("first")))
+    # the first ones go by their own place, so that a unit of very many occurrences is no key of a join
+    first = again.groupBy("a", "b").agg(F.min("r").alias("first")).select("a", "b", "first.row", "first.start")
+    later = again.join(first, ["a", "b", "row", "start"], "left_anti")
     spans = later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     out = held.select("row", "doc_id", F.size("units").cast("long").alias("n_units")).join(spans, "row", "left")
     return out.withColumn("removed", merged(F.coalesce("removed", F.array().cast(SPAN))))
 
 
 def merged(spans: Column) -> Column:
-    """Sorted spans, those that touch or overlap joined."""
-    last = lambda acc: F.element_at(acc, -1)
+    """Sorted spans, those that touch or overlap joined: a run begins where a span starts behind all ends before it, and ends
+    with the largest end in it. Linear but for the running maximum, which goes by blocks."""
+    none = F.array().cast(SPAN)
 
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))
-        apart = F.concat(acc, F.array(s))
-        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] <= last(acc)["end"], joined).otherwise(apart)
+    def of(ss: Column) -> Column:
+        reach = running_max(F.transform(ss, lambda s: s["end"]))
 
-    return F.aggregate(spans, F.array().cast(SPAN), step)
+        def cut(ends: Column) -> Column:
+            n = F.size(ss)
+            heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ss, i)["start"] > F.get(ends, i - 1)))
+            tails = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get(ss, i + 1)["start"] > F.get(ends, i)))
+            return F.zip_with(heads, tails, lambda h, t: F.struct(F.get(ss, h)["start"].alias("start"), F.get(ends, t).alias("end")))
+
+        return let(reach, cut)
+
+    return let(spans, lambda ss: F.when(F.size(ss) > 0, of(ss)).otherwise(none))
 
 
 def strip(text: Column, removed: Column) -> Column:
     """The text without the merged spans."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out"), s["end"].alias("at"))
-    return F.aggregate(removed, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def of(spans: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+        ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("long")))
+        return cutter(text, lambda cut: F.array_join(F.zip_with(starts, ends, lambda a, b: cut(a, b - a)), ""))
+
+    return let(removed, of)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
