@@ -1,20 +1,22 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns give candidate spans; each candidate's value is hashed, and hashes are counted over the whole corpus by distinct
-owners (here: sources). A value that many owners have is a copied example; a value of few owners that looks random is
-taken for live, however many repositories (documents) of its owners hold it. Opaque tokens, which no pattern names, are reported only when they are live.
+owners (here: sources) and by distinct repositories (documents, of which equal texts are one). A value that many owners or
+very many repositories have is a copied example; any other that looks random is taken for live. Opaque tokens, which no
+pattern names, are reported only when they are live. Offsets are prefix sums in blocks: time is linear in a text.
 
-Defined results: null or empty text has no spans; a null owner or repository counts as one of its own; repeated rows are
+Defined results: null or empty text has no spans; a null owner counts as one of its own; repeated rows are
 reported row by row and count once in the frequencies; an empty table gives none; other columns are carried through and
-the new ones take the place of columns of the same name.
+clash with nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, plain_columns, table
+from .common import cut, cutter, let, plain_columns, prefix_sums, running_max, spare, table
 
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 #: kind, pattern, group of the value. The first three are the base. Patterns mean the same to Java and to DuckDB.
@@ -34,6 +36,8 @@ NAMES = tuple(k for k, _, _ in KINDS)
 OPAQUE = NAMES.index("opaque")
 #: A value of so many distinct owners is a copied example.
 WIDE_OWNERS = 4
+#: Or of so many distinct repositories, whoever owns them.
+WIDE_REPOS = 100
 #: Live-looking: so many different characters at least, and a digit.
 LEAST_KINDS_OF_CHARACTERS = 8
 MARK = "[SECRET]"
@@ -45,13 +49,8 @@ def _spans(text: Column, k: int) -> Column:
     pieces = F.split(text, pattern)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
-    starts = F.aggregate(
-        pairs,
-        start,
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).cast("long").alias("at"), F.concat(acc["all"], F.array((acc["at"] + x["gap"]).cast("long"))).alias("all")),
-        lambda acc: acc["all"],
-    )
+    # a match begins behind all pieces up to it and all matches before it
+    sized_of = lambda ps: F.transform(ps, lambda x: F.length(x["m"]) + x["gap"])
 
     def span(x: Column, at: Column) -> Column:
         m = x["m"]
@@ -64,7 +63,8 @@ def _spans(text: Column, k: int) -> Column:
             at.alias("start"), end.cast("long").alias("end"), F.lit(k).alias("kind"), F.md5(value.cast("binary")).alias("hash"), looks.alias("live"), (end - F.length(value)).cast("long").alias("value_start"), F.length(value).alias("n")
         )
 
-    all_ = F.zip_with(pairs, starts, span)
+    starts = lambda ps: F.zip_with(prefix_sums(sized_of(ps)), ps, lambda at, x: at + x["gap"])
+    all_ = let(pairs, lambda ps: F.zip_with(ps, starts(ps), span))
     if name == "assign":
         all_ = F.filter(all_, lambda s: s["n"] >= 6)
     if name == "opaque":
@@ -83,43 +83,70 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike("|".join(p for _, p, _ in KINDS)), named).otherwise(none)
 
 
-def owners(held: DataFrame, owner: str, repo: str) -> DataFrame:
-    """hash, n_owners, n_repos (which no status uses) over the corpus, from rows with __spans. Pairs are made distinct before hashes meet."""
+def examples(held: DataFrame, owner: str, repo: str, wide_owners: int, wide_repos: int) -> DataFrame:
+    """hash of the values that are widely copied: by distinct owners or by distinct repositories. Pairs are made distinct, and
+    counted by owner, before hashes meet."""
     each = held.select(F.explode("__spans").alias("s"), F.struct(F.col(owner)).alias("o"), F.struct(F.col(repo)).alias("r"))
     pairs = each.select(F.col("s.hash").alias("hash"), "o", "r").distinct()
     by_owner = pairs.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
+    counts = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
+    return counts.where((F.col("n_owners") >= wide_owners) | (F.col("n_repos") >= wide_repos)).select("hash")
+
+
+def overlapping(values: Column) -> Column:
+    """Sorted spans, those that overlap joined; spans that only touch stay apart."""
+
+    def of(ss: Column) -> Column:
+        def cut(ends: Column) -> Column:
+            n = F.size(ss)
+            heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ss, i)["start"] >= F.get(ends, i - 1)))
+            tails = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get(ss, i + 1)["start"] >= F.get(ends, i)))
+            return F.zip_with(heads, tails, lambda h, t: F.struct(F.get(ss, h)["start"].alias("start"), F.get(ends, t).alias("end")))
+
+        return let(running_max(F.transform(ss, lambda s: s["end"])), cut)
+
+    return let(values, lambda ss: F.when(F.size(ss) > 0, of(ss)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))
+
+
+SHOWN = "array<struct<start:bigint,end:bigint,kind:int,value_start:bigint,status:string>>"
 
 
-def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "source", repo: str = "doc_id", wide: int = WIDE_OWNERS, out: str = "spans") -> DataFrame:
-    """The carried columns and, named by out, spans: (start, end, kind, value_start, status), of every row. status: example, live or weak."""
-    cols = list(dict.fromkeys([*carry, owner, repo]))
-    held = df.select(*[F.col(f"`{c}`") for c in cols], candidates(F.col(f"`{text}`")).alias("__spans"))
+def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "source", wide: int = WIDE_OWNERS, out: str = "spans", wide_repos: int = WIDE_REPOS) -> DataFrame:
+    """The carried columns and, named by out, spans: (start, end, kind, value_start, status), of every row. status: example,
+    live or weak. A repository is a document; documents of equal text are one, so that copies of a leak are no example."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__carried"), F.col(f"`{owner}`").alias("__owner"), F.col(f"`{text}`").alias("__text"), candidates(F.col(f"`{text}`")).alias("__spans"))
+    some = F.size("__spans") > 0
+    held = held.withColumn("__repo", F.when(some, F.md5(F.coalesce("__text", F.lit("")).cast("binary")))).drop("__text")
     held = cut(held.withColumn("__row", F.monotonically_increasing_id()), "candidates")
-    some = held.where(F.size("__spans") > 0)
-    status = F.when(F.col("n_owners") >= wide, "example").when(F.col("s.live"), "live").otherwise("weak")
-    each = some.select("__row", F.explode("__spans").alias("s")).withColumn("__hash", F.col("s.hash"))
-    each = each.join(owners(some, owner, repo).withColumnRenamed("hash", "__hash"), "__hash").withColumn("status", status)
-    shown = each.where((F.col("s.kind") != OPAQUE) | (F.col("status") == "live"))
-    rows = shown.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "s.kind", "s.value_start", "status"))).alias("__all"))
-    # opaque spans that another span overlaps say nothing new
-    alone = F.filter("__all", lambda a: (a["kind"] != OPAQUE) | ~F.exists("__all", lambda b: (b["kind"] != OPAQUE) & (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    rows = rows.select("__row", alone.alias("__found"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value_start:bigint,status:string>>")
+    some = held.where(some)
+    each = some.select("__row", F.explode("__spans").alias("s")).withColumn("hash", F.col("s.hash"))
+    wide_ = examples(some, "__owner", "__repo", wide, wide_repos).withColumn("example", F.lit(True))
+    status = F.when(F.col("example"), "example").when(F.col("s.live"), "live").otherwise("weak")
+    each = each.join(wide_, "hash", "left").withColumn("status", status)
+    shown = each.where((F.col("s.kind") != OPAQUE) | (F.col("status") == "live")).select("__row", "s.start", "s.end", "s.kind", "s.value_start", "status")
+    # opaque spans that another span overlaps say nothing new: one that ends behind their start, or starts before their end
+    order = W.partitionBy("__row").orderBy("start", "end", "kind")
+    named = F.col("kind") != OPAQUE
+    before = F.max(F.when(named, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min(F.when(named, F.col("start"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    shown = shown.withColumns({"before": before, "after": after})
+    alone = named | ~(F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False)))
+    rows = shown.where(alone).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value_start", "status"))).alias("__found"))
     both = held.drop("__spans").join(rows, "__row", "left")
-    return both.select(*[F.col(f"`{c}`") for c in carry], F.coalesce("__found", none).alias(out))
+    return both.select(*[F.col("__carried")[c].alias(c) for c in carry], F.coalesce("__found", F.array().cast(SHOWN)).alias(out))
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with the values of all spans but examples replaced by a mark, those that look weak too; overlapping values become one mark. spans by start."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    live = F.array_sort(F.transform(F.filter(spans, lambda s: s["status"] != "example"), lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b"))))
+    values = F.array_sort(F.transform(F.filter(spans, lambda s: s["status"] != "example"), lambda s: F.struct(s["value_start"].alias("start"), s["end"].alias("end"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(MARK))
-        return F.struct(F.when(s["a"] >= acc["at"], new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["b"]).alias("at"))
+    def of(gone: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(gone, lambda s: s["end"]))
+        ends = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.length(text).cast("long")))
+        return cutter(text, lambda cut: F.array_join(F.zip_with(starts, ends, lambda a, b: cut(a, b - a)), MARK))
 
-    return F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # values that touch stay two: only those that overlap become one mark
+    return let(overlapping(values), of)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +169,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: values of few owners give way to a mark, examples stay; every document stays. n_chars follows the text."""
     some = F.coalesce(F.col("text"), F.lit("")).rlike("|".join(p for _, p, _ in KINDS))
-    found = scan(docs.where(some), docs.columns, out="__found")
-    changed = found.withColumn("__new", redact(F.col("text"), F.col("__found")))
-    new = {"text": F.col("__new"), "n_chars": F.when(F.col("__new") == F.col("text"), F.col("n_chars")).otherwise(F.length("__new").cast("long"))}
-    changed = changed.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    spans, changed = spare(docs, "__found"), spare(docs, "__new")
+    found = scan(docs.where(some), docs.columns, out=spans)
+    found = found.withColumn(changed, redact(F.col("text"), F.col(spans)))
+    new = {"text": F.col(changed), "n_chars": F.when(F.col(changed) == F.col("text"), F.col("n_chars")).otherwise(F.length(changed).cast("long"))}
+    changed = found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
     return docs.where(~some).unionByName(changed)
 
 
@@ -168,8 +196,8 @@ def sql(source: str = "documents") -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM {source}),
 c AS ({' UNION ALL '.join(parts)}),
-o AS (SELECT h, count(DISTINCT coalesce('s' || source, '')) AS owners FROM c GROUP BY h),
-s AS (SELECT c.*, CASE WHEN owners >= {WIDE_OWNERS} THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS status FROM c JOIN o USING (h)),
+o AS (SELECT h, count(DISTINCT coalesce('s' || c.source, '')) AS owners, count(DISTINCT (coalesce('s' || c.source, ''), md5(t))) AS repos FROM c JOIN d USING (rid) GROUP BY h),
+s AS (SELECT c.*, CASE WHEN owners >= {WIDE_OWNERS} OR repos >= {WIDE_REPOS} THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS status FROM c JOIN o USING (h)),
 k AS (SELECT * FROM s WHERE kind <> {OPAQUE} OR (status = 'live' AND NOT EXISTS (SELECT 1 FROM s n WHERE n.rid = s.rid AND n.kind <> {OPAQUE} AND n.a < s.b AND s.a < n.b))),
 g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg({label}, ',' ORDER BY a, kind) FILTER (kind < {BASE}) AS base, string_agg({label}, ',' ORDER BY a, kind) AS spans,
