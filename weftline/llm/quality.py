@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS_SQL, let, table, words
+from .common import BLANKS_SQL, let, spare, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -121,9 +121,10 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]
 
 def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the metrics, base_failed, failed_rules and kept."""
-    held = df.withColumn("__m", measures(F.col(f"`{text}`")))
-    base_failed, failed = verdict(F.col("__m"), rules)
-    new = {n: F.col("__m")[n] for n in (*BASE_COLUMNS, "n_stop_words", "n_lines", "n_exclamations")} | {"base_failed": base_failed, "failed_rules": failed}
+    name = spare(df, "measures")
+    held = df.withColumn(name, measures(F.col(f"`{text}`")))
+    base_failed, failed = verdict(F.col(name), rules)
+    new = {n: F.col(name)[n] for n in (*BASE_COLUMNS, "n_stop_words", "n_lines", "n_exclamations")} | {"base_failed": base_failed, "failed_rules": failed}
     out = held.select(*[F.col(f"`{c}`") for c in df.columns if c not in {*new, "kept"}], *[v.alias(k) for k, v in new.items()])
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
@@ -135,9 +136,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    m = F.col("__m")
-    base_failed, failed = verdict(m)
-    return docs.withColumn("__m", measures(F.col("text"))).where(~base_failed & (failed == "")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = spare(docs, "measures")
+    base_failed, failed = verdict(F.col(name))
+    return docs.withColumn(name, measures(F.col("text"))).where(~base_failed & (failed == "")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sql(source: str = "documents") -> str:
