@@ -125,10 +125,11 @@ def scan(df: DataFrame, carry: list[str], text: str = "text", owner: str = "sour
     each = each.join(wide_, "hash", "left").withColumn("status", status)
     shown = each.where((F.col("s.kind") != OPAQUE) | (F.col("status") == "live")).select("__row", "s.start", "s.end", "s.kind", "s.value_start", "status")
     # opaque spans that another span overlaps say nothing new: one that ends behind their start, or starts before their end
-    order = W.partitionBy("__row").orderBy("start", "end", "kind")
-    named = F.col("kind") != OPAQUE
-    before = F.max(F.when(named, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.min(F.when(named, F.col("start"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # (two orders, since a frame to the end is made anew for every row)
+    places, so_far = ("start", "end", "kind"), (W.unboundedPreceding, W.currentRow)
+    named, own = F.col("kind") != OPAQUE, W.partitionBy("__row")
+    before = F.max(F.when(named, F.col("end"))).over(own.orderBy(*places).rowsBetween(*so_far))
+    after = F.min(F.when(named, F.col("start"))).over(own.orderBy(*[F.desc(c) for c in places]).rowsBetween(*so_far))
     shown = shown.withColumns({"before": before, "after": after})
     alone = named | ~(F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False)))
     rows = shown.where(alone).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value_start", "status"))).alias("__found"))
