@@ -1,9 +1,14 @@
 """Operators do the whole job: no part of a text or a table is left out."""
 
+import hashlib
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import lines, secrets, spotsigs
+from weftline.llm import chat, lines, mixing, quality, secrets, spotsigs
+from weftline.llm.common import cutter, prefix_sums, running_max
 
 
 def test_signatures_read_every_content_word():
@@ -49,3 +54,61 @@ def test_weak_values_of_few_owners_are_redacted(spark):
     got = {r.doc_id: r for r in secrets.redact_secrets(spark, df, "").collect()}
     assert [got[i].text for i in range(4)] == ["password: [SECRET] a", "secret = [SECRET]", "[SECRET]", texts[3]]
     assert got[0].n_chars == len(got[0].text) and got[11].text == "password: changeme"
+
+
+def test_blocks_sum_and_cut_like_plain_loops(spark):
+    r = np.random.default_rng(4)
+    for n in (0, 1, 255, 256, 257, 1000):
+        xs = r.integers(0, 50, n).tolist()
+        df = spark.createDataFrame([(xs,)], "xs array<bigint>")
+        got = df.select(prefix_sums(F.col("xs"), 7).alias("s"), running_max(F.col("xs")).alias("m")).first()
+        assert got.s == [7 + sum(xs[:i]) for i in range(n)] and got.m == [max(xs[: i + 1]) for i in range(n)]
+    text = "".join(r.choice(list("aé🙂\n"), 5000).tolist())
+    spans = [(int(a), int(b)) for a, b in zip(r.integers(0, 5000, 60), r.integers(0, 3000, 60), strict=True)]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<a:bigint,n:bigint>>")
+    got = df.select(cutter(F.col("t"), lambda cut: F.transform("s", lambda x: cut(x["a"], x["n"]))).alias("x")).first().x
+    assert got == [text[a : a + n] for a, n in spans]
+
+
+def test_long_texts_take_linear_time(spark):
+    """One text of 5 MB with a hundred thousand lines and thousands of secrets."""
+    line = "password: hunter{0:06d} and a line of more than eight words here {0}\n"
+    text = "".join(line.format(i) for i in range(75_000))
+    assert len(text) > 5_000_000
+    docs = spark.createDataFrame([(1, text, "s", len(text))], "doc_id long, text string, source string, n_chars long")
+    began = time.time()
+    assert lines.repeated(docs).first().n_units == 75_000
+    out = secrets.redact_secrets(spark, docs, "").first().text
+    assert out.count("[SECRET]") == 75_000 and out.endswith("here 74999\n") and "hunter" not in out
+    chats = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text + "</s>")], "conv_id long, turn long, role string, text string")
+    told = chat.format_chats(chats).select(F.length(chat.loss_text(F.col("formatted"), F.col("parsed")))).first()[0]
+    assert told == len(text) + 4
+    turns = spark.range(50_000).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn number ', id, ' says a few words and ends') AS text")
+    got = chat.format_chats(turns).select(F.size("parsed"), F.length(chat.loss_text(F.col("formatted"), F.col("parsed")))).first()
+    assert got[0] == 50_000 and got[1] == sum(len(f"turn number {i} says a few words and ends") for i in range(1, 50_000, 2))
+    assert time.time() - began < 240
+
+
+def test_marginals_of_the_mix(spark):
+    """Sources of one document each: copies have the rate as their mean, and a source of many documents meets its target."""
+    for rate in (0.375, 0.75, 1.875):
+        facts = spark.createDataFrame([(f"s{i}", 10, f"{i:064x}") for i in range(600)], "source string, size long, draw string")
+        rates = facts.select("source", F.lit(rate).alias("rate"))
+        more = mixing.thresholds(facts, rates).count()
+        assert abs(more / 600 - (rate - int(rate))) < 0.07
+    r = np.random.default_rng(1)
+    sizes = (r.pareto(1.2, 4000) * 20 + 1).astype(int).tolist()
+    facts = spark.createDataFrame([("s", s, hashlib.sha256(str(i).encode()).hexdigest()) for i, s in enumerate(sizes)], "source string, size long, draw string")
+    got = facts.join(mixing.thresholds(facts, facts.select("source", F.lit(2.3).alias("rate")).distinct()), ["source", "size"]).where("draw <= upto").agg(F.sum("size")).first()[0]
+    assert abs(got - 0.3 * sum(sizes)) <= max(sizes)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_columns_of_the_mixs_names_are_carried(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", broadcast)
+    extra = ["size", "source_size", "target", "rate", "copies", "text_md5", "whole", "part", "pick", "mix", "Mix_", "__m"]
+    rows = [(i, "w " * (i % 9), f"s{i % 4}", *[f"{c}{i}" for c in extra]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra))
+    out = mixing.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
+    assert {tuple(r) for r in quality.keep_good(spark, docs.withColumn("text", F.lit("the word of a text in which all is well and it is for you to read as it was by us at home")), "").drop("text").collect()} == {r[:1] + r[2:] for r in rows}
