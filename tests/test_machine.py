@@ -2,6 +2,7 @@
 
 import random
 from dataclasses import replace
+from datetime import datetime
 from itertools import product
 
 import pytest
@@ -13,7 +14,7 @@ from weftline.plans.compose import choice, rename_vars, repeat_range
 from weftline.plans.pattern import Lit, Op, PatternBuilder, Ref
 from weftline.sources.graph import TemporalGraph
 from weftline.streaming import shards
-from weftline.streaming.machine import Edge, Machine
+from weftline.streaming.machine import Edge, Machine, evaluate_let, plain_arithmetic
 
 from .test_batch import chain, hospitality
 
@@ -163,6 +164,78 @@ def test_streaming_query(spark, tmp_path):
         q.stop()
 
 
+def test_ticks_end_for_silent_shards(spark):
+    """A run whose shard has no later edge expires by the last tick of all."""
+    rows = [("u", 0, "e0", "eventType", 1, "a", None, None, 0, None), ("u", 1, "e0", "actor", 0, "u", None, None, 0, None), ("v", 2, "e1", "eventType", 1, "z", None, None, 50, None)]
+    schema = "shard string, edge_seq long, source string, label string, rank int, s string, n double, b boolean, start_t long, end_t long"
+    df, p = spark.createDataFrame(rows, schema), replace(chain("a", "b").build(), deadline=2)
+    out = shards.replay(df, [p], lambda t: t // 10).where("kind = 'expired'").collect()
+    assert [(r.shard, r.tick) for r in out] == [("u", 2)]
+    got = {(r.shard, r.tick): (r.expired, r.stalled, r.active) for r in shards.ticks(df, [p], lambda t: t // 10, 2).collect()}
+    assert got[("u", 2)] == ([], ["p"], 1) and got[("u", 3)] == (["p"], [], 0) and got[("u", 5)] == ([], [], 0)
+    assert shards.replay(spark.createDataFrame([], schema), [p], lambda t: t // 10).collect() == []
+
+
+def test_streaming_timer(spark, tmp_path):
+    """A silent shard's run expires once the watermark has passed its deadline."""
+    schema = "shard string, edge_seq long, source string, label string, rank int, s string, n double, b boolean, start_t long, end_t long, at timestamp"
+    p = [replace(chain("a", "b").build(), deadline=1)]
+    second = 1_000_000
+
+    def rows(shard, at, kind):
+        return [(shard, 0, f"{shard}{at}", "eventType", 1, kind, None, None, at * second, None, datetime.fromtimestamp(at)), (shard, 1, f"{shard}{at}", "actor", 0, shard, None, None, at * second, None, datetime.fromtimestamp(at))]
+
+    for i, part in enumerate((rows("u", 5, "a"), rows("v", 95, "z"), rows("v", 96, "z"))):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withWatermark("at", "1 second")
+    out = shards.stream(src, p, lambda t: t // (10 * second), lambda k: k * 10_000, horizon=20 * second)
+    q = out.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        q.processAllAvailable()
+        assert [(r.kind, r.shard) for r in spark.table("timed").collect()] == [("advanced", "u"), ("expired", "u")]
+    finally:
+        q.stop()
+
+
+def test_state_is_bounded():
+    m = Machine([chain("a", "b").build()])
+    for i in range(200):
+        m.feed([Edge(f"e{i}", "eventType", "c", i, i + 1), Edge(f"e{i}", "actor", N("u"), i)])
+    m.feed(ev("x", "a", 200, actor=N("u")))
+    assert m.evict(200) == 200 and m.evict(150, idle=True) == 150 and ("x", "actor") in m.store
+    assert kinds(m.feed(ev("y", "b", 400, actor=N("u")))) == ["completed"]
+    d = shards.Drive(Machine([chain("a", "b").build()]), "u")
+    for i in range(200):
+        for e in ev(f"e{i}", "a", i, actor=N("u")):
+            d.add(e)
+    d.flush()
+    assert d.machine.log == [] and len(d.out) == 200
+
+
+def test_evaluators_are_plug_ins():
+    p = PatternBuilder("p").stage("a").edge("a", "eventType", "a").bind("a", "v", "x").let("y", Op("+", Ref("x"), Lit("!"))).done().build()
+    assert kinds(Machine([p]).feed(ev("x", "a", 1, v="s"))) == []
+
+    def joined(op, a, b):
+        return a + b if op == "+" and isinstance(a, str) and isinstance(b, str) else plain_arithmetic(op, a, b)
+
+    m = Machine([p], evaluator=lambda e, held: evaluate_let(e, held, joined))
+    assert m.feed(ev("x", "a", 1, v="s"))[0].bindings["y"] == "s!"
+    assert m.copy().feed(ev("z", "a", 2, v="t"))[0].bindings["y"] == "t!"
+
+
+def test_indexed_runs_are_found_as_by_looking_at_all():
+    """Any edge's triggers hold all clauses that it satisfies."""
+    from weftline.streaming.machine import trigger, triggers
+
+    values = ["a", "b", 1, 1.0, True, False, N("a"), float("nan"), 0]
+    for v in values:
+        for asked in values:
+            for c in PatternBuilder("p").stage("s").edge("s", "l", asked).done().build().stages[0].clauses:
+                if compare_python("=", v, asked):
+                    assert trigger(c) in triggers(Edge("s", "l", v, 1)), (v, asked)
+
+
 def test_shard_variables():
     assert "guest" in shards.shard_variables([rename_vars(hospitality(), "x", ["guest"])])
 

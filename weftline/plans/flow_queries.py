@@ -90,8 +90,8 @@ def _(spark, d):
 
 @query(
     "inc_expired",
-    f"""WITH {E}, x AS (SELECT *, t // {DAY} AS d, max(t // {DAY}) OVER (PARTITION BY u) AS last FROM e WHERE y IN ('signup', 'purchase'))
-SELECT u AS actor, t AS e1, d + 2 AS tick FROM x WHERE y = 'signup' AND d + 3 <= (SELECT max(t // {DAY}) FROM e l WHERE l.u = x.u)""",
+    f"""WITH {E}, x AS (SELECT *, t // {DAY} AS d FROM e WHERE y = 'signup')
+SELECT u AS actor, t AS e1, d + 2 AS tick FROM x WHERE y = 'signup' AND d + 3 <= (SELECT max(t // {DAY}) FROM e)""",
 )
 def _(spark, d):
     p = replace(PAIR, deadline=2)
@@ -104,13 +104,11 @@ def _repeat(least: int, most: int | None) -> Pattern:
 
 @query(
     "inc_repeat_range",
-    f"""WITH {E}, r AS (SELECT u, t, row_number() OVER (PARTITION BY u ORDER BY t) AS i FROM e WHERE y = 'error' AND v > 120), p AS (SELECT a.u, a.t AS first_e, b.t AS last_e, b.i - a.i + 1 AS m FROM r a JOIN r b ON a.u = b.u AND a.i < b.i)
+    f"""WITH {E}, r AS (SELECT u, t, row_number() OVER (PARTITION BY u ORDER BY t) AS i FROM e WHERE y = 'error'), p AS (SELECT a.u, a.t AS first_e, b.t AS last_e, b.i - a.i + 1 AS m FROM r a JOIN r b ON a.u = b.u AND a.i < b.i)
 SELECT u AS actor, first_e, last_e, k::BIGINT AS reps FROM (SELECT *, unnest(range(3, least(m, 5) + 1)) AS k FROM p WHERE m >= 3)""",
 )
 def _(spark, d):
-    r = events(spark, d)
-    kept = edges(spark, d).join(r.df.where("event_type = 'error' AND value > 120").select(r.source.alias("source")), "source", "left_semi")
-    out = shards.replay(kept, [_repeat(3, 5)]).where("kind = 'completed'")
+    out = log([_repeat(3, 5)])(spark, d).where("kind = 'completed'")
     return out.select(F.col("shard").alias("actor"), F.col("starts")["first_e"].alias("first_e"), F.col("starts")["last_e"].alias("last_e"), F.col("reps").cast("bigint").alias("reps"))
 
 
@@ -135,39 +133,62 @@ def _(spark, d):
     return spans(log([replace(PAIR, advance_in_place=True)])(spark, d).where("kind = 'completed'"), "e1", "e2")
 
 
-@query("inc_concurrent_group", f"WITH {E} SELECT a.u AS actor, a.t AS e1, b.t AS e2, c.t AS e3 FROM e a JOIN e b ON a.u = b.u JOIN e c ON a.u = c.u WHERE a.y = 'signup' AND b.y = 'view' AND c.y = 'purchase' AND a.t < c.t AND b.t < c.t AND a.v > 60 AND b.v > 60 AND c.v > 60")
+@query("inc_concurrent_group", f"WITH {E} SELECT a.u AS actor, a.t AS e1, b.t AS e2, c.t AS e3 FROM e a JOIN e b ON a.u = b.u JOIN e c ON a.u = c.u WHERE a.y = 'signup' AND b.y = 'view' AND c.y = 'purchase' AND a.t < c.t AND b.t < c.t")
 def _(spark, d):
-    r = events(spark, d)
-    kept = edges(spark, d).join(r.df.where("value > 60").select(r.source.alias("source")), "source", "left_semi")
     p = chain("c", "signup", "view", "purchase").mark_unordered([0, 1]).build()
-    return spans(shards.replay(kept, [p]).where("kind = 'completed'"), *THREE)
+    return spans(log([p])(spark, d).where("kind = 'completed'"), *THREE)
 
 
-@query("inc_exclusive_group")
+@query(
+    "inc_exclusive_group",
+    f"""WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY t) AS i FROM e),
+w AS (SELECT u, 0::BIGINT AS i, [0]::BIGINT[] AS s, [0]::BIGINT[] AS v, NULL::BIGINT AS t, CAST([] AS BIGINT[]) AS done FROM (SELECT DISTINCT u FROM o)
+ UNION ALL SELECT w.u, o.i, CASE o.y WHEN 'signup' THEN list_append(w.s, o.t) WHEN 'purchase' THEN w.s[1:1] WHEN 'click' THEN CASE WHEN len(w.v) > 1 THEN w.s[1:1] ELSE w.s END ELSE w.s END,
+  CASE o.y WHEN 'view' THEN list_append(w.v, o.t) WHEN 'click' THEN w.v[1:1] WHEN 'purchase' THEN CASE WHEN len(w.s) > 1 THEN w.v[1:1] ELSE w.v END ELSE w.v END, o.t,
+  CASE o.y WHEN 'purchase' THEN w.s[2:] WHEN 'click' THEN w.v[2:] ELSE CAST([] AS BIGINT[]) END
+ FROM w JOIN o ON o.u = w.u AND o.i = w.i + 1)
+SELECT u AS actor, unnest(done) AS e1, t AS e2 FROM w WHERE len(done) > 0""",
+)
 def _(spark, d):
     """Pairs of one exclusive group: a completion ends what is open in the group."""
     ps = choice("either", [chain("bought", "signup", "purchase").build(), chain("looked", "view", "click").build()])
     return spans(log(ps)(spark, d).where("kind = 'completed'"), "e1", "e2")
 
 
-@query("inc_stale", f"WITH {E}, s AS (SELECT u, max(t // {DAY}) AS last FROM e GROUP BY u), x AS (SELECT u, max(t // {DAY}) AS moved FROM e WHERE y IN ('signup', 'purchase') AND (y = 'signup' OR EXISTS (SELECT 1 FROM e a WHERE a.u = e.u AND a.y = 'signup' AND a.t < e.t)) GROUP BY u) SELECT u AS actor, last - moved AS idle FROM s JOIN x USING (u) WHERE last - moved >= 2")
+@query("inc_stale", f"WITH {E}, l AS (SELECT max(t // {DAY}) AS last FROM e), x AS (SELECT u, max(t // {DAY}) AS moved FROM e WHERE y = 'signup' GROUP BY u) SELECT u AS actor, 'pair' AS pattern FROM x, l WHERE last - moved >= 2")
 def _(spark, d):
-    """Users whose last move lies two ticks or more before their last event."""
-    ev = log([PAIR], True)(spark, d).where("kind IN ('advanced', 'completed')").groupBy("shard").agg(F.max("tick").alias("moved"))
-    last = edges(spark, d).groupBy("shard").agg(F.max(F.floor(F.col("start_t") / DAY)).alias("last"))
-    return ev.join(last, "shard").select(F.col("shard").alias("actor"), (F.col("last") - F.col("moved")).alias("idle")).where("idle >= 2")
+    """Patterns with open runs that did not advance for two ticks or more, by the table's last tick."""
+    out = shards.report(edges(spark, d), [PAIR], day, "pattern string", lambda m: [(x,) for x in m.stale(2)])
+    return out.select(F.col("shard").alias("actor"), "pattern")
+
+
+@query(
+    "inc_stalled_ticks",
+    f"""WITH {E}, l AS (SELECT max(t // {DAY}) AS last FROM e), f AS (SELECT u, min(t // {DAY}) AS first FROM e GROUP BY u), k AS (SELECT u, unnest(range(first + 1, last + 1)) AS tick FROM f, l),
+z AS (SELECT k.u, tick, max(e.t // {DAY}) AS moved FROM k JOIN e ON e.u = k.u AND e.y = 'signup' AND e.t // {DAY} < tick GROUP BY ALL) SELECT tick, count(*) AS stalled FROM z WHERE tick - moved >= 2 GROUP BY tick""",
+)
+def _(spark, d):
+    """In how many shards a pattern is stalled after each tick."""
+    out = shards.ticks(edges(spark, d), [PAIR], day, 2).where(F.array_contains("stalled", "pair"))
+    return out.groupBy("tick").agg(F.count(F.lit(1)).alias("stalled"))
 
 
 @query(
     "inc_plant_status",
-    f"""WITH {E}, c AS (SELECT b.u, count(*) AS n FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'purchase' AND a.t < b.t GROUP BY b.u), p AS (SELECT u, count(*) AS n FROM e WHERE y = 'signup' GROUP BY u)
-SELECT p.u AS actor, p.n AS plants, coalesce(c.n, 0) AS payoffs, coalesce(c.n, 0) = 0 AS unresolved FROM p LEFT JOIN c USING (u)""",
+    f"""WITH {E}, l AS (SELECT max(t // {DAY}) AS last FROM e), c AS (SELECT u, count(*) AS n FROM e WHERE y = 'purchase' GROUP BY u), p AS (SELECT u, count(*) AS n, max(t // {DAY}) AS moved FROM e WHERE y = 'signup' GROUP BY u),
+q AS (SELECT b.u, max(b.t // {DAY}) AS moved FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'click' AND a.t < b.t GROUP BY b.u)
+SELECT p.u AS actor, p.n AS plants, coalesce(c.n, 0) AS payoffs, last - greatest(p.moved, coalesce(q.moved, p.moved)) AS idle, last - greatest(p.moved, coalesce(q.moved, p.moved)) >= 2 AS stale FROM p CROSS JOIN l LEFT JOIN c USING (u) LEFT JOIN q USING (u)""",
 )
 def _(spark, d):
-    ev = log([PAIR])(spark, d)
-    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
-    out = ev.groupBy(F.col("shard").alias("actor")).agg(n("advanced").alias("plants"), n("completed").alias("payoffs"))
-    return out.withColumn("unresolved", (F.col("plants") > 0) & (F.col("payoffs") == 0)).where("plants > 0")
+    """A set-up (signup, awaiting a click) and its pay-off (a purchase): what the matcher says of the pair by user."""
+    from ..streaming.machine import Machine
+
+    def of(m: Machine) -> list[tuple]:
+        m.register_pair("deal", "plant", "payoff")
+        return [(x["active_plants"], x["payoffs"], x["ticks_since_advance"], x["stale"]) for x in m.plant_status(2) if x["active_plants"]]
+
+    out = shards.report(edges(spark, d), [chain("plant", "signup", "click").build(), chain("payoff", "purchase").build()], day, "plants long, payoffs long, idle long, stale boolean", of)
+    return out.withColumnRenamed("shard", "actor")
 
 
 @query("inc_equals_batch", f"WITH {E} SELECT count(*) AS batch, count(*) AS incremental, 0 AS apart FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'purchase' AND a.t < b.t")

@@ -10,13 +10,13 @@ an "unless", while its other clauses hold now, ends the run."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from ..functions.intervals import constraint_of
 from ..functions.values import Literal, Node
-from ..plans.pattern import Bind, Constraint, Expr, Lit, Pattern, Ref, Stage, target_vars
+from ..plans.pattern import Bind, Constraint, Expr, Is, Lit, Pattern, Ref, Stage, target_vars
 from ..sources.predicates import matches_python
 
 Span = tuple[int, int | None]
@@ -88,20 +88,44 @@ class TickDelta:
     active: int
 
 
-def evaluate_let(e: Expr, bindings: dict[str, Literal]) -> Literal | None:
+#: A plug-in for the arithmetic of values: (operator, left, right) to a value, None where it has none.
+Arithmetic = Callable[[str, Any, Any], Any]
+#: A plug-in for computed bindings: (expression, bindings) to a value, None where it has none.
+LetEvaluator = Callable[[Expr, dict[str, Literal]], Any]
+
+
+def plain_arithmetic(op: str, a: Any, b: Any) -> float | None:
+    """Numbers alone; a division by zero has no value."""
+    if any(not isinstance(x, (int, float)) or isinstance(x, bool) for x in (a, b)) or (op == "/" and b == 0):
+        return None
+    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[op]()
+
+
+def evaluate_let(e: Expr, bindings: dict[str, Literal], arithmetic: Arithmetic = plain_arithmetic) -> Literal | None:
     if isinstance(e, Lit):
         return e.value
     if isinstance(e, Ref):
         v = bindings.get(e.var)
         return None if isinstance(v, Node) else v
-    a, b = (evaluate_let(x, bindings) for x in (e.left, e.right))
-    if any(not isinstance(x, (int, float)) or isinstance(x, bool) for x in (a, b)) or (e.op == "/" and b == 0):
-        return None
-    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[e.op]()
+    a, b = (evaluate_let(x, bindings, arithmetic) for x in (e.left, e.right))
+    return None if a is None or b is None else arithmetic(e.op, a, b)
+
+
+def trigger(c: Any) -> tuple:
+    """Where a clause is looked for: by its label and the text or truth value that it asks for, if it asks for one."""
+    t = c.target
+    asked = t.value if isinstance(t, Is) else t.values[0] if isinstance(t, Constraint) and t.op == "=" and not t.var else None
+    return (c.label, type(asked), asked) if isinstance(asked, (str, bool)) else (c.label,)
+
+
+def triggers(e: Edge) -> tuple:
+    """The places where clauses that an edge may satisfy are found."""
+    return ((e.label,), (e.label, type(e.value), e.value)) if isinstance(e.value, (str, bool)) else ((e.label,),)
 
 
 class Machine:
-    def __init__(self, patterns: Iterable[Pattern] = (), now: int | None = None) -> None:
+    def __init__(self, patterns: Iterable[Pattern] = (), now: int | None = None, evaluator: LetEvaluator = evaluate_let) -> None:
+        self.evaluator = evaluator
         self.patterns: list[Pattern] = []
         self.enabled: list[bool] = []
         self.metrics: list[Metrics] = []
@@ -111,6 +135,10 @@ class Machine:
         self.now, self.tick, self.next_id = now, 0, 0
         self.stats = {"edges": 0, "fingerprints": 0, "negation_checks": 0, "peak_active": 0}
         self.log: list[Event] = []
+        self.done: dict[int, Run] = {}
+        self.waiting: dict[tuple, dict[int, Run]] = {}
+        self.of_pattern: dict[int, dict[int, Run]] = {}
+        self.named: dict[str, tuple[bool, list[Metrics]]] = {}
         self.starts: dict[str, set[int]] = {}
         self.ends: dict[str, set[int]] = {}
         self.pairs: list[tuple[str, str, str, str | None]] = []
@@ -123,14 +151,31 @@ class Machine:
         self.patterns.append(p)
         self.enabled.append(True)
         self.metrics.append(Metrics())
-        for s in p.stages:
-            if s.clauses:
-                self.starts.setdefault(s.clauses[0].label, set()).add(i)
+        for stage in p.group_of(0) or (0,):
+            if p.stages and p.stages[stage].clauses:
+                self.starts.setdefault(trigger(p.stages[stage].clauses[0]), set()).add(i)
         for n in p.negations:
             for c in n.clauses:
-                self.ends.setdefault(c.label, set()).add(i)
+                self.ends.setdefault(trigger(c), set()).add(i)
+        private, own = self.named.get(p.name, (False, []))
+        self.named[p.name] = (private or p.private, [*own, self.metrics[-1]])
         return i
 
+    def _index(self, r: Run, on: bool) -> None:
+        """Puts an active run where the edges that can advance or end it are looked for, or takes it away."""
+        p = self.patterns[r.pattern]
+        places = [self.of_pattern.setdefault(r.pattern, {})]
+        if r.next < len(p.stages):
+            group = p.group_of(r.next)
+            for stage in [s for s in group if not r.mask >> s & 1] if group else [r.next]:
+                if p.stages[stage].clauses:
+                    places.append(self.waiting.setdefault(trigger(p.stages[stage].clauses[0]), {}))
+        for place in places:
+            if on:
+                place[r.id] = r
+            else:
+                place.pop(r.id, None)
+
     def set_enabled(self, pattern: int, on: bool) -> None:
         self.enabled[pattern] = on
         if not on:
@@ -149,21 +194,43 @@ class Machine:
     def active(self, pattern: str | None = None) -> list[Run]:
         return [r for r in self.runs.values() if r.state == "active" and (pattern is None or self.patterns[r.pattern].name == pattern)]
 
+    def _active_of(self, i: int) -> list[Run]:
+        return list(self.of_pattern.get(i, {}).values())
+
     def _remove(self, runs: Iterable[Run]) -> int:
         gone = list(runs)
         for r in gone:
             r.state = "dead"
             if self.runs.pop(r.id, None):
+                self._index(r, False)
                 self.keys.discard(r.key())
         return len(gone)
 
     def drain_completed(self) -> list[Run]:
-        done = [r for r in self.runs.values() if r.state == "complete"]
+        done = list(self.done.values())
+        self.done.clear()
         for r in done:
             self.runs.pop(r.id)
             self.keys.discard(r.key())
         return [r for r in done if not self.patterns[r.pattern].private]
 
+    def evict(self, before: int, idle: bool = False) -> int:
+        """Forgets edges that ended by a time, which no later edge can see; with idle also those of sources without an edge
+        since then that no active run holds. A negation over a one-stage match looks at all times: then nothing goes."""
+        if any(len(p.stages) == 1 and p.negations for p in self.patterns):
+            return 0
+        gone = 0
+        held = {v.id for r in self.runs.values() for v in r.bindings.values() if isinstance(v, Node)} if idle else set()
+        recent = {s for (s, _), own in self.store.items() if any(x.start >= before for x in own)} if idle else set()
+        for key, own in list(self.store.items()):
+            left = [x for x in own if (x.end is None or x.end > before) and not (idle and key[0] not in held and key[0] not in recent)]
+            gone += len(own) - len(left)
+            if left:
+                self.store[key] = left
+            else:
+                del self.store[key]
+        return gone
+
     def kill_involving(self, node: str) -> int:
         return self._remove(r for r in self.active() if Node(node) in [v for v in r.bindings.values() if isinstance(v, Node)])
 
@@ -172,8 +239,16 @@ class Machine:
         other.__dict__ = self.__dict__ | {
             "patterns": list(self.patterns), "enabled": list(self.enabled), "metrics": [replace(m) for m in self.metrics], "store": {k: list(v) for k, v in self.store.items()},
             "runs": {i: replace(r, bindings=dict(r.bindings), spans=dict(r.spans)) for i, r in self.runs.items()}, "keys": set(self.keys), "stats": dict(self.stats), "log": [],
-            "starts": {k: set(v) for k, v in self.starts.items()}, "ends": {k: set(v) for k, v in self.ends.items()}, "pairs": list(self.pairs),
+            "starts": {k: set(v) for k, v in self.starts.items()}, "ends": {k: set(v) for k, v in self.ends.items()}, "pairs": list(self.pairs), "waiting": {}, "of_pattern": {}, "done": {}, "named": {},
         }
+        for p, m in zip(other.patterns, other.metrics, strict=True):
+            private, own = other.named.get(p.name, (False, []))
+            other.named[p.name] = (private or p.private, [*own, m])
+        for r in other.runs.values():
+            if r.state == "active":
+                other._index(r, True)
+            else:
+                other.done[r.id] = r
         return other
 
     # edges
@@ -237,7 +312,7 @@ class Machine:
             if hit is not None and isinstance(c.target, Bind) and c.target.var not in now:
                 new[c.target.var] = now[c.target.var] = hit.value
         for name, x in s.lets:
-            v = None if name in now else evaluate_let(x, now)
+            v = None if name in now else self.evaluator(x, now)
             if v is None:
                 return None
             new[name] = now[name] = v
@@ -293,46 +368,52 @@ class Machine:
         """What an edge that is in the store already brings about."""
         self.stats["edges"] += 1
         events: list[Event] = []
-        live = [r for r in self.runs.values() if r.state == "active"]
+        where = triggers(e)
+        ends = sorted(set().union(*[self.ends.get(x, ()) for x in where])) if self.ends else ()
         killed = []
-        for r in live:
+        for r in sorted((r for i in ends for r in self._active_of(i)), key=lambda r: r.id):
             self.stats["negation_checks"] += 1
-            if r.pattern in self.ends.get(e.label, ()) and (label := self._killer(self.patterns[r.pattern], r, e)) is not None:
+            if (label := self._killer(self.patterns[r.pattern], r, e)) is not None:
                 r.state = "dead"
                 killed.append(r)
                 events.append(Event("negated", self.patterns[r.pattern].name, r.id, clause_label=label, trigger_source=e.source, stage_reached=r.next, metadata=dict(self.patterns[r.pattern].metadata), spans=dict(r.spans)))
         fresh: list[Run] = []
         used: set[int] = set()
-        for i in sorted(self.starts.get(e.label, ())):
+        live = {r.id: r for x in where for r in self.waiting.get(x, {}).values()}
+        for i in sorted(set().union(*[self.starts.get(x, ()) for x in where])):
             p = self.patterns[i]
-            if not self.enabled[i] or not p.stages:
+            if not self.enabled[i]:
                 continue
             for stage in p.group_of(0) or (0,):
                 if (new := self._stage(p.stages[stage], e, {})) is not None:
                     events += self._push(p, Run(i, {}, {}, (p.group_of(0) or (0,))[0], -1, self.tick, self.tick), stage, new, e, fresh, used)
-            # runs of this pattern, oldest first
-        for r in live:
+        for _, r in sorted(live.items()):  # oldest first
             p = self.patterns[r.pattern]
-            if r.state != "active" or not self.enabled[r.pattern] or r.next >= len(p.stages) or r.pattern not in self.starts.get(e.label, ()):
+            if r.state != "active" or not self.enabled[r.pattern]:
                 continue
             group = p.group_of(r.next)
             for stage in [s for s in group if not r.mask >> s & 1] if group else [r.next]:
-                new = self._stage(p.stages[stage], e, r.bindings)
-                if new is not None and self._ordered(p, r.spans, stage, e):
+                if not self._ordered(p, r.spans, stage, e):
+                    continue
+                if (new := self._stage(p.stages[stage], e, r.bindings)) is not None:
                     events += self._push(p, r, stage, new, e, fresh, used)
         self._remove(self.runs[i] for i in used if i in self.runs)
         for r in fresh:
             self.runs[r.id] = r
+            if r.state == "active":
+                self._index(r, True)
+            else:
+                self.done[r.id] = r
         self._remove(killed)
         self._count(events)
         self._exclude(fresh)
-        self.stats["peak_active"] = max(self.stats["peak_active"], sum(r.state == "active" for r in self.runs.values()))
+        self.stats["peak_active"] = max(self.stats["peak_active"], len(self.runs) - len(self.done))
         shown = [x for x in events if not self._private(x)]
         self.log += shown
         return shown
 
     def _private(self, x: Event) -> bool:
-        return any(p.private for p in self.patterns if p.name == x.pattern)
+        return self.named[x.pattern][0]
 
     def _keep(self, r: Run, fresh: list[Run]) -> bool:
         """Stores a run unless there is an equal one."""
@@ -383,9 +464,8 @@ class Machine:
         return out
 
     def _count(self, events: list[Event]) -> None:
-        names = {p.name: m for p, m in zip(self.patterns, self.metrics, strict=True)}
         for x in events:
-            m = names[x.pattern]
+            m = self.named[x.pattern][1][-1]
             if x.kind in ("advanced", "completed"):
                 m.last_advanced = self.tick
             setattr(m, x.kind, getattr(m, x.kind, 0) + 1)
@@ -416,8 +496,7 @@ class Machine:
         return delta, expired
 
     def stale(self, threshold: int) -> list[str]:
-        busy = {r.pattern for r in self.active()}
-        return [p.name for i, p in enumerate(self.patterns) if self.enabled[i] and i in busy and self.tick - max(r.advanced for r in self.active() if r.pattern == i) >= threshold]
+        return [p.name for i, p in enumerate(self.patterns) if self.enabled[i] and (own := self._active_of(i)) and self.tick - max(r.advanced for r in own) >= threshold]
 
     # set-ups and pay-offs
     def register_pair(self, name: str, plant: str, payoff: str, shared: str | None = None) -> None:

@@ -1,7 +1,8 @@
 """The incremental matcher on Spark: one machine a shard, in a batch replay or in a streaming query.
 
 A shard key is a value that a match's edges share (an actor, say): every edge is routed to its shards before it comes here.
-Without one, a constant key gives one machine, as a single process would. State is the machine itself, kept by Spark's
+Without one, a constant key gives one machine, as a single process would: exclusive groups and endings of runs hold within
+a machine, so that patterns which must end each other belong to shards that both share. State is the machine itself, kept by Spark's
 state store; a restarted task continues from the last committed one."""
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import Literal, Node
 from ..plans.pattern import Bind, Pattern
-from .machine import Edge, Event, Machine
+from .machine import Edge, Event, Machine, TickDelta
 
 EVENTS = "shard string, kind string, pattern string, match_id long, stage_index int, bindings map<string,string>, clause_label string, trigger_source string, stage_reached int, ticks_elapsed int, starts map<string,bigint>, reps int, tick long, at long"
 COLUMNS = ["shard", "edge_seq", "source", "label", "rank", "s", "n", "b", "start_t", "end_t"]
@@ -53,58 +55,171 @@ def _row(shard: str, e: Event, tick: int, at: int | None) -> tuple:
 
 
 NAMES = [x.split()[0] for x in EVENTS.split(", ")]
-
-
-def drive(machine: Machine, shard: str, edges: Iterator[Edge], tick_of: Callable[[int], int] | None) -> list[tuple]:
-    """Feeds edges by start time; before the first edge of a later tick, the ticks in between end."""
-    out: list[tuple] = []
-    group: list[Edge] = []
-
-    def flush() -> None:
+TEXTS = pa.map_(pa.string(), pa.string())
+TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": TEXTS, "map<string,bigint>": pa.map_(pa.string(), pa.int64()), "array<string>": pa.list_(pa.string())}
+#: Event rows, or edges of one shard, that are handed on at once.
+ROWS = 5000
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
+    plain = lambda v, t: list(v.items()) if isinstance(v, dict) and pa.types.is_map(t) else v
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array([plain(v, TYPES[kind]) for v in c], TYPES[kind]) for (_, kind), c in zip(fields, columns, strict=True)], names=[n for n, _ in fields])
+
+
+class Drive:
+    """Feeds a machine edges by start time, and ends the ticks that lie before them."""
+
+    def __init__(self, machine: Machine, shard: str, tick_of: Callable[[int], int] | None = None, each_tick: Callable[[TickDelta], tuple] | None = None, stale: int = 10) -> None:
+        self.machine, self.shard, self.tick_of, self.each_tick, self.stale = machine, shard, tick_of, each_tick, stale
+        self.group: list[Edge] = []
+        self.out: list[tuple] = []
+        self.deltas: list[tuple] = []
+
+    def add(self, e: Edge) -> None:
+        if self.group and e.start != self.group[0].start:
+            self.flush()
+        self.group.append(e)
+
+    def to(self, tick: int) -> None:
+        """Ends all ticks before this one. Where no run is left to expire and nobody asks for them, they are passed over."""
+        m = self.machine
+        while m.tick < tick:
+            if self.each_tick is None and not m.log and not len(m.runs) - len(m.done):
+                m.tick = tick
+                break
+            at = m.tick
+            delta, expired = m.end_tick(self.stale)
+            self.out.extend(_row(self.shard, x, at, None) for x in expired)
+            if self.each_tick is not None:
+                self.deltas.append((self.shard, *self.each_tick(delta)))
+
+    def flush(self) -> None:
+        m, group = self.machine, self.group
         if not group:
             return
-        if tick_of is not None:
-            to = tick_of(group[0].start)
-            if not machine.stats["edges"]:
-                machine.tick = to
-            while machine.tick < to:
-                at = machine.tick
-                out.extend(_row(shard, x, at, None) for x in machine.end_tick()[1])
-        out.extend(_row(shard, x, machine.tick, group[0].start) for x in machine.feed(group))
-        machine.drain_completed()
-        group.clear()
-
-    for e in edges:
-        if group and e.start != group[0].start:
-            flush()
-        group.append(e)
-    flush()
-    return out
+        if self.tick_of is not None:
+            now = self.tick_of(group[0].start)
+            if not m.stats["edges"]:
+                m.tick = now
+            self.to(now)
+        self.out.extend(_row(self.shard, x, m.tick, group[0].start) for x in m.feed(group))
+        m.drain_completed()
+        if self.tick_of is None:
+            m.log = []  # only ticks ask for it
+        self.group = []
+
+
+def _edges(batch: pa.RecordBatch) -> Iterator[tuple[str, Edge]]:
+    for shard, source, label, rank, s, n, b, start, end in zip(*(batch.column(c).to_pylist() for c in ("shard", "source", "label", "rank", "s", "n", "b", "start_t", "end_t")), strict=True):
+        yield shard, Edge(source, label, _value(rank, s, n, b), start, end)
+
+
+def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None, schema: str, take: Callable[[Drive, bool], list[tuple]], **how: Any) -> DataFrame:
+    """Shards are dealt and sorted by Spark and streamed through their machines: a task holds one machine and one batch of
+    edges, never a shard's edges. Ticks end for all shards up to the tick of the table's last edge, whose start is the one
+    number that goes through the driver."""
+    last = None
+    if tick_of is not None:
+        until = edges.agg(F.max("start_t")).first()[0]
+        last = None if until is None else tick_of(until)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d: Drive | None = None
+        blank, rows = Machine(patterns), []
+
+        def end() -> list[tuple]:
+            if d is None:
+                return []
+            d.flush()
+            if last is not None:
+                d.to(last)
+            return take(d, True)
+
+        for batch in batches:
+            for shard, e in _edges(batch):
+                if d is None or shard != d.shard:
+                    rows += end()
+                    d = Drive(blank.copy(), shard, tick_of, **how)
+                d.add(e)
+                if len(d.out) >= ROWS or len(rows) >= ROWS:
+                    rows += take(d, False)
+                    yield batch_of(rows, schema)
+                    rows = []
+        rows += end()
+        if rows:
+            yield batch_of(rows, schema)
+
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select(*COLUMNS).withColumn("start_t", F.col("start_t").cast("long")).withColumn("end_t", F.col("end_t").cast("long"))
+    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "start_t", "edge_seq").mapInArrow(run, schema)
 
 
 def replay(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None = None) -> DataFrame:
     """Events of a bounded table of edges with a shard column, each shard in the order of start and edge_seq."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_t", "edge_seq"], kind="stable")
-        shard = pdf["shard"].iloc[0]
-        return pd.DataFrame(drive(Machine(patterns), shard, edges_of(pdf), tick_of), columns=NAMES)
+    def take(d: Drive, last: bool) -> list[tuple]:
+        out, d.out = d.out, []
+        return out
+
+    return _replayed(edges, patterns, tick_of, EVENTS, take)
+
+
+DELTAS = "shard string, tick long, advanced array<string>, completed array<string>, negated array<string>, expired array<string>, stalled array<string>, active int"
+
 
-    return edges.select(*COLUMNS).groupBy("shard").applyInPandas(run, EVENTS)
+def ticks(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int], stale: int = 10) -> DataFrame:
+    """What each tick of each shard brought: the machine's tick deltas, stalled patterns included."""
 
+    def take(d: Drive, last: bool) -> list[tuple]:
+        out, d.deltas, d.out = d.deltas, [], []
+        return out
 
-def stream(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None = None) -> DataFrame:
+    return _replayed(edges, patterns, tick_of, DELTAS, take, each_tick=lambda x: (x.tick, x.advanced, x.completed, x.negated, x.expired, x.stalled, x.active), stale=stale)
+
+
+def report(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None, schema: str, of: Callable[[Machine], list[tuple]]) -> DataFrame:
+    """Rows that a function says of each shard's machine at the end of the table's last tick but one; shard comes first."""
+
+    def take(d: Drive, last: bool) -> list[tuple]:
+        d.out = []
+        return [(d.shard, *x) for x in of(d.machine)] if last else []
+
+    return _replayed(edges, patterns, tick_of, "shard string, " + schema, take)
+
+
+def stream(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None = None, tick_start: Callable[[int], int] | None = None, horizon: int | None = None) -> DataFrame:
     """The same over a streaming DataFrame, append mode: the machine of a shard is its state. In a micro-batch edges are
-    sorted by start; what comes later than its time misses matches, as in any incremental evaluation."""
+    sorted by start; what comes later than its time misses matches, as in any incremental evaluation.
+
+    With tick_start (the time, in milliseconds, at which a tick begins) a shard without further edges ends its ticks as well,
+    by an event-time timer; edges then need a column at with a watermark. Edges that ended go from the state; with horizon,
+    also those of sources that had no edge for so long and that no open run holds."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         machine = pickle.loads(state.get[0]) if state.exists else Machine(patterns)
-        pdf = pd.concat(list(batches)).sort_values(["start_t", "edge_seq"], kind="stable")
-        rows = drive(machine, key[0], edges_of(pdf), tick_of)
+        d = Drive(machine, key[0], tick_of)
+        if state.hasTimedOut:
+            now = machine.tick
+            while tick_start(now + 1) <= state.getCurrentWatermarkMs():
+                now += 1
+            d.to(now)
+        else:
+            pdf = pd.concat(list(batches)).sort_values(["start_t", "edge_seq"], kind="stable")
+            for e in edges_of(pdf):
+                d.add(e)
+            d.flush()
+            if len(pdf):
+                end = int(pdf["start_t"].iloc[-1])
+                machine.evict(end if horizon is None else end - horizon, horizon is not None)
         state.update((pickle.dumps(machine),))
-        yield pd.DataFrame(rows, columns=NAMES)
+        if tick_start is not None and any(p.deadline is not None or p.inactivity is not None for p in patterns) and machine.active():
+            state.setTimeoutTimestamp(max(tick_start(machine.tick + 1), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(d.out, columns=NAMES)
 
-    return edges.select(*COLUMNS).groupBy("shard").applyInPandasWithState(run, EVENTS, "machine binary", "append", "NoTimeout")
+    columns = [*COLUMNS, "at"] if tick_start is not None else COLUMNS
+    return edges.select(*columns).groupBy("shard").applyInPandasWithState(run, EVENTS, "machine binary", "append", "EventTimeTimeout" if tick_start is not None else "NoTimeout")
 
 
 def metrics(events: DataFrame) -> DataFrame:
@@ -115,6 +230,6 @@ def metrics(events: DataFrame) -> DataFrame:
 
 
 def tick_deltas(events: DataFrame) -> DataFrame:
-    """The names that advanced, completed, were negated or expired in each tick."""
+    """The names that advanced, completed, were negated or expired in each tick of an event log; ticks() has the stalled ones too."""
     names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("pattern")))).alias(kind)
     return events.groupBy("tick").agg(*map(names, ("advanced", "completed", "negated", "expired")))
