@@ -108,6 +108,8 @@ def compare(op: str, a: Parts, b: Parts) -> Column:
 
 def compare_python(op: str, a: Literal, b: Literal) -> bool:
     """The same rule on Python values, for the incremental machine."""
+    if op == "=" and a.__class__ is b.__class__:
+        return a == b
     ra, rb = rank_of(a), rank_of(b)
     pa, pb = payload(a), payload(b)
     if (ra == NUM and math.isnan(pa)) or (rb == NUM and math.isnan(pb)):

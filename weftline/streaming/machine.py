@@ -65,8 +65,14 @@ class Run:
     mask: int = 0
     state: str = "active"
 
+    known: tuple | None = None
+
     def key(self) -> tuple:
-        return self.pattern, self.next, self.reps, self.mask, tuple(sorted((k, type(v).__name__, str(v)) for k, v in self.bindings.items())), tuple(sorted(self.spans.items()))
+        """What makes two runs equal; made once, as a stored run doesn't change."""
+        if self.known is None:
+            held = frozenset((k, v.__class__, v if v == v else "nan") for k, v in self.bindings.items())
+            self.known = (self.pattern, self.next, self.reps, self.mask, held, frozenset(self.spans.items()))
+        return self.known
 
 
 @dataclass
@@ -139,6 +145,9 @@ class Machine:
         self.waiting: dict[tuple, dict[int, Run]] = {}
         self.of_pattern: dict[int, dict[int, Run]] = {}
         self.named: dict[str, tuple[bool, list[Metrics]]] = {}
+        self.groups: list[list[tuple[int, ...]]] = []
+        self.asks: list[list[tuple]] = []
+        self.metadata: list[dict[str, str]] = []
         self.starts: dict[str, set[int]] = {}
         self.ends: dict[str, set[int]] = {}
         self.pairs: list[tuple[str, str, str, str | None]] = []
@@ -151,6 +160,9 @@ class Machine:
         self.patterns.append(p)
         self.enabled.append(True)
         self.metrics.append(Metrics())
+        self.groups.append([tuple(p.group_of(k) or ()) for k in range(len(p.stages))])
+        self.asks.append([trigger(x.clauses[0]) if x.clauses else () for x in p.stages])
+        self.metadata.append(dict(p.metadata))
         for stage in p.group_of(0) or (0,):
             if p.stages and p.stages[stage].clauses:
                 self.starts.setdefault(trigger(p.stages[stage].clauses[0]), set()).add(i)
@@ -163,13 +175,12 @@ class Machine:
 
     def _index(self, r: Run, on: bool) -> None:
         """Puts an active run where the edges that can advance or end it are looked for, or takes it away."""
-        p = self.patterns[r.pattern]
+        asks, groups = self.asks[r.pattern], self.groups[r.pattern]
         places = [self.of_pattern.setdefault(r.pattern, {})]
-        if r.next < len(p.stages):
-            group = p.group_of(r.next)
-            for stage in [s for s in group if not r.mask >> s & 1] if group else [r.next]:
-                if p.stages[stage].clauses:
-                    places.append(self.waiting.setdefault(trigger(p.stages[stage].clauses[0]), {}))
+        if r.next < len(asks):
+            for stage in [s for s in groups[r.next] if not r.mask >> s & 1] or (r.next,):
+                if asks[stage]:
+                    places.append(self.waiting.setdefault(asks[stage], {}))
         for place in places:
             if on:
                 place[r.id] = r
@@ -240,6 +251,7 @@ class Machine:
             "patterns": list(self.patterns), "enabled": list(self.enabled), "metrics": [replace(m) for m in self.metrics], "store": {k: list(v) for k, v in self.store.items()},
             "runs": {i: replace(r, bindings=dict(r.bindings), spans=dict(r.spans)) for i, r in self.runs.items()}, "keys": set(self.keys), "stats": dict(self.stats), "log": [],
             "starts": {k: set(v) for k, v in self.starts.items()}, "ends": {k: set(v) for k, v in self.ends.items()}, "pairs": list(self.pairs), "waiting": {}, "of_pattern": {}, "done": {}, "named": {},
+            "groups": list(self.groups), "asks": list(self.asks), "metadata": list(self.metadata),
         }
         for p, m in zip(other.patterns, other.metrics, strict=True):
             private, own = other.named.get(p.name, (False, []))
@@ -357,6 +369,8 @@ class Machine:
         return False
 
     def _ordered(self, p: Pattern, spans: dict[str, Span], stage: int, e: Edge) -> bool:
+        if all(span[0] < e.start for span in spans.values()):
+            return True
         place = {s.anchor: i for i, s in enumerate(p.stages)}
         return all(span[0] < e.start or (a in place and p.same_group(place[a], stage)) for a, span in spans.items())
 
@@ -384,15 +398,15 @@ class Machine:
             p = self.patterns[i]
             if not self.enabled[i]:
                 continue
-            for stage in p.group_of(0) or (0,):
+            first = self.groups[i][0] or (0,)
+            for stage in first:
                 if (new := self._stage(p.stages[stage], e, {})) is not None:
-                    events += self._push(p, Run(i, {}, {}, (p.group_of(0) or (0,))[0], -1, self.tick, self.tick), stage, new, e, fresh, used)
+                    events += self._push(p, Run(i, {}, {}, first[0], -1, self.tick, self.tick), stage, new, e, fresh, used)
         for _, r in sorted(live.items()):  # oldest first
             p = self.patterns[r.pattern]
             if r.state != "active" or not self.enabled[r.pattern]:
                 continue
-            group = p.group_of(r.next)
-            for stage in [s for s in group if not r.mask >> s & 1] if group else [r.next]:
+            for stage in [s for s in self.groups[r.pattern][r.next] if not r.mask >> s & 1] or (r.next,):
                 if not self._ordered(p, r.spans, stage, e):
                     continue
                 if (new := self._stage(p.stages[stage], e, r.bindings)) is not None:
@@ -429,16 +443,16 @@ class Machine:
         """The run with a stage more: a completion, a partial match, or a turn of the loop."""
         born = r.id < 0
         bindings, spans = r.bindings | new, r.spans | {p.stages[stage].anchor: (e.start, e.end)}
-        group, mask, nxt = p.group_of(r.next), r.mask, r.next + 1
+        group, mask, nxt = self.groups[r.pattern][r.next], r.mask, r.next + 1
         if group:
             mask |= 1 << stage
             nxt = group[-1] + 1 if all(mask >> s & 1 for s in group) else group[0]
         end = nxt >= len(p.stages)
-        meta, out = dict(p.metadata), []
-        grown = replace(r, bindings=bindings, spans=spans, next=nxt, mask=mask, advanced=self.tick, state="complete" if end else "active")
+        meta, out = self.metadata[r.pattern], []
+        grown = Run(r.pattern, bindings, spans, nxt, r.id, r.created, self.tick, r.reps, mask, "complete" if end else "active")
         if end and p.loop and not born:
             reps = r.reps + (1 if r.reps else 2)
-            done = replace(grown, reps=reps)
+            done = replace(grown, reps=reps, known=None)
             if reps >= p.loop.least and self._relations(p, spans) and self._keep(done, fresh):
                 out.append(Event("completed", p.name, done.id, stage, dict(bindings), metadata=meta, spans=dict(spans), reps=reps))
                 if p.advance_in_place:
@@ -446,7 +460,7 @@ class Machine:
             if p.loop.most is None or reps < p.loop.most:
                 own = p.stages[p.loop.first : p.loop.last + 1]
                 names = {s.anchor for s in own} | {n for s in own for n, _ in s.lets} | {c.source for s in own for c in s.clauses} | {v for s in own for c in s.clauses if isinstance(c.target, Bind) for v in target_vars(c.target)}
-                again = replace(grown, bindings={k: v for k, v in bindings.items() if k not in names or k in p.loop.shared}, next=p.loop.first, mask=0, reps=reps, state="active")
+                again = replace(grown, bindings={k: v for k, v in bindings.items() if k not in names or k in p.loop.shared}, next=p.loop.first, mask=0, reps=reps, state="active", known=None)
                 if self._keep(again, fresh):
                     out.append(Event("advanced", p.name, again.id, stage, metadata=meta, spans=dict(spans), reps=reps))
             return out
