@@ -6,7 +6,8 @@
    one at least holds the same elements in both: each non-empty range's content is hashed to a key. k is H + 1 + E, with E
    more than the empty ranges of nearly all sets; a set with more than E also gives keys for its empty ranges, so nothing
    is lost. A set gives keys in its own band and in each band of larger sets that it can link with.
-   Links leave at least m - H of a set's m keys shared: sets with fewer, and keys left to one set, go. Keys are sorted
+   Links leave at least m - H of a set's m keys shared, and more in large sets, whose differing elements share ranges
+   (but for one pair in 1e12, as likely as a collision of hashes): sets with fewer, and keys left to one set, go. Keys are sorted
    and streamed, so that a key which many sets have needs no memory; one of N sets is at most one row in hundreds.
 3. Sets that share keys form blocks (connected components over stars, a linear number of edges).
 4. A block that fits one tile, by the number of its sets and by their bytes, is one. Of a larger block, the sets that
@@ -40,7 +41,7 @@ from .components import components
 
 #: Most sets, and most bytes of sets, that meet in one tile.
 TILE = 8_000
-TILE_BYTES = 24_000_000
+TILE_BYTES = 48_000_000
 #: Bytes of a set beside its hashes: bitmap, digest, objects.
 SET_BYTES = 700
 #: More than the size bands; a power of two.
@@ -108,6 +109,13 @@ def _ranges(k: int) -> np.ndarray:
     return np.array([(j << 64) // k for j in range(k)], np.uint64)
 
 
+@lru_cache(256)
+def most_hit(k: int, d: int) -> int:
+    """Of k ranges, how many d elements of random hashes fall into: d at most, and more than this with a probability under
+    1e-12 (the mean, and the deviation by McDiarmid's bound)."""
+    return min(d, math.ceil(k * (1 - (1 - 1 / k) ** d) + math.sqrt(d * math.log(1e12) / 2)))
+
+
 def banded(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The keys of a set, each with its size band in the lowest bits; and (band, need): how many keys of the band at least
     are shared with any set that it links with there."""
@@ -125,12 +133,12 @@ def banded(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[in
         salt = np.arange(k, dtype=np.uint64) * C1 + np.uint64(g << 40)
         sums = np.add.reduceat(mixed, at[full])
         own, held = [mix(sums + mix(salt[full]))], int(full.sum())
-        # k - 1 - e ranges at most differ, so that the others' content is shared where it isn't empty
+        # so many ranges at most differ; the others' content is shared where it isn't empty
         if k - held > e:
             own.append(mix(~mix(salt[~full])))
             needs.append((g, 1))
         else:
-            needs.append((g, held - (k - 1 - e)))
+            needs.append((g, held - most_hit(k, k - 1 - e)))
         out += [(x & ~np.uint64(BANDS - 1)) | np.uint64(g) for x in own]
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), needs
 
