@@ -100,6 +100,21 @@ def test_band_keys_lose_no_pair():
                 assert np.intersect1d(jaccard.band_keys(a, 85, 100), jaccard.band_keys(b, 85, 100)).size, (len(a), len(b))
 
 
+def test_occupancy_bounds():
+    """Against simulation, and against each other where the exact count meets the bound."""
+    r = np.random.default_rng(3)
+    for k, d in ((10, 6), (47, 46), (200, 150)):
+        hit = np.array([len(np.unique(r.integers(0, k, d))) for _ in range(4000)])
+        p = jaccard._occupied(k, d)
+        assert abs(p.sum() - 1) < 1e-9 and abs((p * np.arange(len(p))).sum() - hit.mean()) < 0.5
+        assert jaccard.least_hit(k, d) <= hit.min() and hit.max() <= jaccard.most_hit(k, d) <= d
+        mean, off = jaccard._bernstein(k, d, jaccard.LOSS)
+        assert jaccard.most_hit(k, d) <= mean + off + 1
+    for num, den in ((85, 100), (4, 5)):
+        for low, high, k, most in jaccard.bands(num, den):
+            assert k == 0 or k > most and jaccard.least_hit(k, max(1, -(-low * num // den))) > most, (low, high)
+
+
 def test_linked_sets_share_as_many_keys_as_they_need():
     """In the larger set's band, both of a linked pair share the keys without which they are left out."""
     r = np.random.default_rng(2)
@@ -112,7 +127,8 @@ def test_linked_sets_share_as_many_keys_as_they_need():
                 continue
             (x, nx), (y, ny) = (jaccard.banded(s, 85, 100) for s in (a, b))
             shared = Counter((np.intersect1d(x, y) & np.uint64(jaccard.BANDS - 1)).tolist())
-            assert any(shared[g] >= max(k, dict(ny)[g]) for g, k in nx if g in dict(ny)), (len(a), len(b))
+            g = max({g for g, _ in nx} & {g for g, _ in ny} & {g for g, (low, high, *_) in enumerate(jaccard.bands(85, 100)) if low <= max(len(a), len(b)) < high})
+            assert shared[g] >= max(dict(nx)[g], dict(ny)[g]), (len(a), len(b))
 
 
 def test_meeting_streams_keys_over_batches():

@@ -2,13 +2,13 @@
 
 1. Documents with equal sets form a class (a digest, summed before it is shuffled); one stands for all, and of a task's
    equal sets one gives keys. Keys go with 64 bits of the digest; where those meet by chance, sets are only compared.
-2. Candidates. Sets of a size band differ in at most H elements where they link, so that of k > H ranges of the hash space
-   one at least holds the same elements in both: each non-empty range's content is hashed to a key. k is H + 1 + E, with E
-   more than the empty ranges of nearly all sets; a set with more than E also gives keys for its empty ranges, so nothing
-   is lost. A set gives keys in its own band and in each band of larger sets that it can link with.
-   Links leave at least m - H of a set's m keys shared, and more in large sets, whose differing elements share ranges
-   (but for one pair in 1e12, as likely as a collision of hashes): sets with fewer, and keys left to one set, go. Keys are sorted
-   and streamed, so that a key which many sets have needs no memory; one of N sets is at most one row in hundreds.
+2. Candidates. Where sets of a size band link they differ in a bounded number of elements, which fall into a bounded number
+   of k ranges of the hash space: the others hold the same elements in both. Each non-empty range's content is hashed to a
+   key, and k is so large that nearly all sets have more non-empty ranges than can differ; any other set also gives keys
+   for its empty ranges. The bounds hold but for one linked pair in 1e12, as hashes collide. A set gives keys in its own
+   band and in each band of larger sets that it can link with. It shares as many keys as it has beyond the ranges that can
+   differ, or it goes, as do keys left to one set. Keys are sorted and streamed, so that a key which many sets have needs
+   no memory; one of N sets is at most one row in hundreds.
 3. Sets that share keys form blocks (connected components over stars, a linear number of edges).
 4. A block that fits one tile, by the number of its sets and by their bytes, is one. Of a larger block, the sets that
    share the leading set of a key form a tile for each size band (a key belongs to one band), so that sets which only a
@@ -80,26 +80,65 @@ class Shingler:
         return np.unique(mix(x))
 
 
+#: Elements up to which occupancy is counted exactly; beyond, Bernstein's bound holds it (occupied ranges are a sum of
+#: independent indicators).
+EXACT = 400
+#: A linked pair is lost, and a set gives keys for its empty ranges, with at most these probabilities.
+LOSS, ODD = 1e-12, 1e-5
+
+
+@lru_cache(4096)
+def _occupied(k: int, d: int) -> np.ndarray:
+    """Probabilities of how many of k ranges d elements of random hashes fall into."""
+    p = np.zeros(min(k, d) + 1)
+    p[0] = 1.0
+    stay = np.arange(len(p)) / k
+    for _ in range(d):
+        move = p[:-1] * (1 - stay[:-1])
+        p *= stay
+        p[1:] += move
+    return p
+
+
+def _bernstein(k: int, d: int, miss: float) -> tuple[float, float]:
+    one, two = (1 - 1 / k) ** d, (1 - 2 / k) ** d if k > 1 else 0.0
+    var, log = max(0.0, k * (k - 1) * two + k * one - (k * one) ** 2), -math.log(miss)
+    return k * (1 - one), log / 3 + math.sqrt(log * log / 9 + 2 * var * log)
+
+
+@lru_cache(4096)
+def most_hit(k: int, d: int) -> int:
+    """Of k ranges, how many d elements fall into at most, but for a probability of LOSS."""
+    if d > EXACT:
+        mean, off = _bernstein(k, d, LOSS)
+        return min(d, k, math.ceil(mean + off))
+    above = np.cumsum(_occupied(k, d)[::-1])[::-1]  # of so many or more
+    return int(np.flatnonzero(above >= LOSS)[-1])
+
+
+@lru_cache(4096)
+def least_hit(k: int, n: int) -> int:
+    """How many n elements fall into at least, but for a probability of ODD."""
+    if n > EXACT:
+        mean, off = _bernstein(k, n, ODD)
+        return max(1, math.floor(mean - off))
+    return int(np.flatnonzero(np.cumsum(_occupied(k, n)) >= ODD)[0])
+
+
 @lru_cache(8)
 def bands(num: int, den: int, top: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """(lowest size, lowest size of the next, ranges k, empty ranges allowed E) for the threshold num / den."""
+    """(lowest size, lowest size of the next, ranges k, most of them that differ in a linked pair) for the threshold num / den.
+    k is 0 where sets of a band link only if they are equal; else so large that the smallest set of the band occupies more
+    ranges than can differ."""
     out, low = [], 2
     while low < top:
         high = max(low + 1, math.ceil(low * math.sqrt(2)))
         differ = 2 * (high - 1) * (den - num) // (den + num)
         smallest = max(1, -(-low * num // den))
-        for e in range(200):
-            k = differ + 1 + e
-            mean = k * math.exp(-smallest / k)
-            term, below = math.exp(-mean), 0.0
-            for i in range(e + 1):
-                below += term
-                term *= mean / (i + 1)
-            if 1 - below < 1e-5:
-                break
-        else:
-            k, e = differ + 1, 0
-        out.append((low, high, k, e))
+        k = max(2, differ // 3) if differ else 0
+        while k and least_hit(k, smallest) <= most_hit(k, differ) and k < 64 * high:
+            k += max(1, k // 12)
+        out.append((low, high, k, most_hit(k, differ) if k else 0))
         low = high
     return out
 
@@ -109,24 +148,17 @@ def _ranges(k: int) -> np.ndarray:
     return np.array([(j << 64) // k for j in range(k)], np.uint64)
 
 
-@lru_cache(256)
-def most_hit(k: int, d: int) -> int:
-    """Of k ranges, how many d elements of random hashes fall into: d at most, and more than this with a probability under
-    1e-12 (the mean, and the deviation by McDiarmid's bound)."""
-    return min(d, math.ceil(k * (1 - (1 - 1 / k) ** d) + math.sqrt(d * math.log(1e12) / 2)))
-
-
 def banded(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The keys of a set, each with its size band in the lowest bits; and (band, need): how many keys of the band at least
     are shared with any set that it links with there."""
     n, out, needs = len(s), [], []
     mixed = mix(s + C1)
-    for g, (low, high, k, e) in enumerate(bands(num, den)):
+    for g, (low, high, k, most) in enumerate(bands(num, den)):
         if high <= n:
             continue
         if low > n and n * den < low * num:
             break
-        if k == 1 and 2 * (high - 1) * (den - num) < den + num:
+        if not k:
             continue  # sets of this band link only where they are equal
         at = np.searchsorted(s, _ranges(k))
         full = np.diff(at, append=n) > 0
@@ -134,11 +166,11 @@ def banded(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[in
         sums = np.add.reduceat(mixed, at[full])
         own, held = [mix(sums + mix(salt[full]))], int(full.sum())
         # so many ranges at most differ; the others' content is shared where it isn't empty
-        if k - held > e:
+        if held <= most:
             own.append(mix(~mix(salt[~full])))
             needs.append((g, 1))
         else:
-            needs.append((g, held - most_hit(k, k - 1 - e)))
+            needs.append((g, held - most))
         out += [(x & ~np.uint64(BANDS - 1)) | np.uint64(g) for x in own]
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), needs
 
