@@ -1,5 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
+A table with a text column lang has the stop words asked for only of languages that the list covers (and of unknown ones).
+
 Defined results: null or empty text has no words and fails the base; ties and repeated rows are judged row by row; an
 empty table gives an empty result; columns besides the text are carried through unread, and the metric columns take
 the place of columns of the same name. A text is read whole, whatever its length.
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS_SQL, let, spare, table, words
+from .common import BLANKS_SQL, let, plain_columns, spare, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -38,16 +40,16 @@ class Rule:
     per: str
     low: int | None = None
     high: int | None = None
-    least_words: int = 0
+    langs: tuple[str, ...] = ()  # only texts of these languages, and of unknown ones, are judged; none: all
 
 
 #: The production thresholds.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=200, high=1600),
     Rule("symbol_ratio", "n_symbols", "n_words", high=10),
-    Rule("stop_word_ratio", "n_stop_words", "n_words", low=4),
+    Rule("stop_word_ratio", "n_stop_words", "n_words", low=4, langs=("en", "de", "fr", "es")),
     Rule("exclamation_ratio", "n_exclamations", "n_words", high=30),
-    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", high=40, least_words=100),
+    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", high=40),
 )
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -105,8 +107,8 @@ def measures(text: Column) -> Column:
     return let(words(text), of)
 
 
-def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
-    """The base's verdict, and the names of the rules that fail, in the table's order."""
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES, lang: Column | None = None) -> tuple[Column, Column]:
+    """The base's verdict, and the names of the rules that fail, in the table's order. lang: the text's language, if known."""
     base_failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     failed = []
     for r in rules:
@@ -115,29 +117,35 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]
             bad = bad | (100 * m[r.metric] < r.low * m[r.per])
         if r.high is not None:
             bad = bad | (100 * m[r.metric] > r.high * m[r.per])
-        failed.append(F.when(bad & (m["n_words"] >= r.least_words), F.lit(r.name)))
+        if r.langs and lang is not None:
+            bad = bad & F.coalesce(lang.isin(*r.langs), F.lit(True))
+        failed.append(F.when(bad, F.lit(r.name)))
     return base_failed, F.concat_ws(",", *failed)
 
 
+def lang_of(df: DataFrame) -> Column | None:
+    return F.col("lang") if dict(df.dtypes).get("lang") == "string" else None
+
+
 def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the metrics, base_failed, failed_rules and kept."""
     name = spare(df, "measures")
     held = df.withColumn(name, measures(F.col(f"`{text}`")))
-    base_failed, failed = verdict(F.col(name), rules)
+    base_failed, failed = verdict(F.col(name), rules, lang_of(df))
     new = {n: F.col(name)[n] for n in (*BASE_COLUMNS, "n_stop_words", "n_lines", "n_exclamations")} | {"base_failed": base_failed, "failed_rules": failed}
     out = held.select(*[F.col(f"`{c}`") for c in df.columns if c not in {*new, "kept"}], *[v.alias(k) for k, v in new.items()])
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = plain_columns(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
     return quality(docs).select("doc_id", *BASE_COLUMNS, "base_failed", "kept", "failed_rules")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     name = spare(docs, "measures")
-    base_failed, failed = verdict(F.col(name))
+    base_failed, failed = verdict(F.col(name), lang=lang_of(docs))
     return docs.withColumn(name, measures(F.col("text"))).where(~base_failed & (failed == "")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -149,9 +157,11 @@ def sql(source: str = "documents") -> str:
     tests = []
     for r in RULES:
         bad = [f"100 * {r.metric} < {r.low} * {r.per}"] * (r.low is not None) + [f"100 * {r.metric} > {r.high} * {r.per}"] * (r.high is not None)
-        tests.append(f"CASE WHEN ({' OR '.join(bad)}) AND n_words >= {r.least_words} THEN '{r.name}' END")
+        if r.langs:
+            bad = [f"({' OR '.join(bad)}) AND coalesce(lang IN ({', '.join(repr(x) for x in r.langs)}), true)"]
+        tests.append(f"CASE WHEN {' OR '.join(bad)} THEN '{r.name}' END")
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {source}),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM {source}),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{BLANKS_SQL}'), lambda x: x <> '') AS w,
         list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {blank}, '')) > 0) AS ls FROM d),
 wins AS (SELECT rid, i, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS k
@@ -159,7 +169,7 @@ wins AS (SELECT rid, i, array_to_string(w[i + 1:i + {WINDOW}], ' ') AS k
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM wins) WHERE n > 1),
 rep AS (SELECT rid, sum(least({WINDOW}, i - last))::BIGINT AS n
         FROM (SELECT rid, i, lag(i, 1, -{WINDOW}) OVER (PARTITION BY rid ORDER BY i) AS last FROM twice) GROUP BY rid),
-m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(t, {blank}, ''))::BIGINT AS word_chars,
+m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(translate(t, {blank}, ''))::BIGINT AS word_chars,
         {chars(SYMBOLS)}::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: x IN ({stops})))::BIGINT AS n_stop_words,
         len(ls)::BIGINT AS n_lines, {chars('!')}::BIGINT AS n_exclamations
