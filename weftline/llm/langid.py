@@ -5,7 +5,8 @@ word in each of them; Viterbi over the words, with a fixed penalty for switching
 the one with most letters, its score that language's share of the letters.
 
 The model is counted on about FIT_ROWS labelled documents (all where there are fewer), chosen by a hash of the id; it has
-BUCKETS numbers a language, and at most MOST_LANGUAGES languages are accepted. Defined results: a null text or one without
+BUCKETS numbers a language, fewer (a smaller power of two) where there are more than CELLS / BUCKETS languages, so that the
+model is bounded whatever their number. Defined results: a null text or one without
 letters is "und" with score 0; without any labelled document every text is "und"; words in a script that no language was
 seen in don't vote; ties go to the language first by name; repeated rows give equal results; an empty table gives no rows;
 a null doc_id counts as empty text for the fold; other columns are not read.
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_columns, table
+from .common import cut, plain_columns, table
 
 FIT_ROWS = 20_000
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 400
+CELLS = 1 << 25
 LENGTHS = (1, 2, 3, 4)
 #: Most that a word can say against a language, and what a switch costs, in nats.
 CLIP = 6.0
@@ -45,7 +46,7 @@ SCRIPT_OF = np.array([NAMES.index("latin")] + [NAMES.index(s) for _, s in SCRIPT
 @dataclass
 class Model:
     languages: list[str]
-    logp: np.ndarray  # [BUCKETS, languages]
+    logp: np.ndarray  # [buckets, languages]
     scripts: np.ndarray  # [scripts, languages]: was the language seen in the script?
 
 
@@ -100,16 +101,19 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * rows / there))
     sums = known.select("lang", "text").mapInArrow(_counts, "lang string, kind int, key int, n long")
     sums = sums.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    got = sums.toPandas() if languages else pd.DataFrame({"lang": [], "kind": [], "key": [], "n": []})  # at most (BUCKETS + scripts) rows a language
-    counts, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(NAMES), len(languages)))
+    sums = cut(sums, "counts")
+    languages = sorted(r[0] for r in sums.select("lang").distinct().collect())  # of the sample's rows
+    buckets = BUCKETS
+    while buckets > 1 and buckets * len(languages) > CELLS:
+        buckets //= 2
+    folded = sums.groupBy("lang", "kind", F.when(F.col("kind") == 0, F.col("key") % buckets).otherwise(F.col("key")).alias("key")).agg(F.sum("n").alias("n"))
+    got = folded.toPandas() if languages else pd.DataFrame({"lang": [], "kind": [], "key": [], "n": []})  # at most CELLS rows, and one a script and language
+    counts, scripts = np.zeros((buckets, len(languages))), np.zeros((len(NAMES), len(languages)))
     lang = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)
     for kind, x in enumerate((counts, scripts)):
         own = (got["kind"] == kind).to_numpy(bool)
         x[got["key"].to_numpy(int)[own], lang[own]] = got["n"].to_numpy()[own]
-    logp = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
+    logp = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * buckets))
     seen = scripts >= np.maximum(1, 0.005 * scripts.sum(0))
     return Model(languages, logp.astype(np.float32), seen)
 
@@ -118,7 +122,7 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     """[words, languages]: log of the languages' shares, at least -CLIP; 0 for all where the script says nothing."""
     b, of, scripts = _grams(words)
     order = np.argsort(of, kind="stable")
-    sums = np.add.reduceat(model.logp[b[order]], np.searchsorted(of[order], np.arange(len(words))), axis=0)
+    sums = np.add.reduceat(model.logp[b[order] % len(model.logp)], np.searchsorted(of[order], np.arange(len(words))), axis=0)
     can = model.scripts[scripts]
     sums[~can] = -1e9
     sums -= sums.max(1, keepdims=True)
