@@ -227,6 +227,65 @@ def test_fingerprints(spark, hard):
     assert by[1].fingerprint == by[2].fingerprint != by[4].fingerprint
 
 
+def plain_signatures(text):
+    """SpotSigs by hand, with the words of chains in place of hashes."""
+    import re
+
+    from weftline.llm.quality import STOP_WORDS
+
+    frequent = {w.lower() for w in STOP_WORDS}
+    ws = re.findall(r"\w+", text.lower())
+    content = [w for w in ws if w not in frequent]
+    if len(content) < 5:
+        return {("", *content)} if content else set()
+    out, read, before = set(), set(), 0
+    for anchor in ["", *ws]:
+        if anchor and anchor not in frequent:
+            before += 1
+        elif before < len(content):
+            out.add((anchor, *content[before : before + 5 : 2]))
+            read |= set(range(before, before + 5, 2))
+    return out | {("", *content[i : i + 5 : 2]) for i in range(len(content)) if i not in read}
+
+
+def jaccard_of(a, b):
+    return len(a & b) / len(a | b) if a and b else float(not a and not b)
+
+
+def test_fingerprints_by_hand(spark, hard):
+    """Against sets of words made here, whose Jaccard is counted here."""
+    got = QUERIES["op10_spot_signatures"](spark, hard).collect()
+    docs = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want, prints = Counter(), {}
+    for i, (d, t) in enumerate(docs):
+        following, n = docs[(i + 1) % len(docs)][1], len(t) // 3
+        e = t[: len(t) - n] + following[:n]
+        own, new, other = map(plain_signatures, (t, e, following))
+        want[(d, len(t), hashlib.sha256(e.encode()).hexdigest(), len(own), round(jaccard_of(own, new), 9), round(jaccard_of(own, other), 9))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, int(r.fingerprint.split(":")[0]), round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+    for r in got:  # equal fingerprints, equal sets
+        prints.setdefault(r.fingerprint, set()).add(r.doc_id)
+    sets = {}
+    for d, t in docs:
+        sets.setdefault(frozenset(plain_signatures(t)), set()).add(d)
+    assert set(map(frozenset, prints.values())) == set(map(frozenset, sets.values()))
+
+
+def test_near_copies_by_signatures(spark):
+    """Against the Jaccard of all pairs of sets made by hand."""
+    docs = [(i, t.replace("w", "the w", 3)) for i, t in near_copies(2, 8, 60)] + [(900, None), (901, "")]
+    sets = {i: plain_signatures(t or "") for i, t in docs}
+    up = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and jaccard_of(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((up[a], up[b]))
+                up = {k: x if v == y else v for k, v in up.items()}
+    got = spotsigs.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), up[i]) for i in sets}
+    assert len(set(up.values())) < len(up)
+
+
 def test_likeness_is_pruned_jaccard():
     a, b = np.arange(10, dtype=np.uint64), np.arange(5, 12, dtype=np.uint64)
     assert spotsigs.likeness(a, b) == 5 / 12 and spotsigs.likeness(a, b, 0.5) == 0.0
@@ -269,6 +328,51 @@ def test_viterbi_is_best_path():
         at += n
 
 
+def test_languages_by_hand(spark):
+    """The query's predictions against the best of all label paths, from counts made here with dictionaries."""
+    import math
+    from itertools import product
+
+    r = np.random.default_rng(8)
+    stems = {"aa": ["kalo", "mira", "tosu", "pela"], "bb": ["strek", "vund", "grolt", "knapf"], "cc": ["ouai", "eauxe", "ieuno", "aouel"]}
+    docs = [(i, " ".join(r.choice(stems[la], 5)) + ("" if i % 3 else " " + stems["aa"][i % 4]), la) for i, la in enumerate(sorted(stems) * 12)] + [(99, "12 ?", "aa"), (98, None, "bb")]
+    mask = (1 << 64) - 1
+
+    def grams(w):
+        p = [2, *map(ord, w), 3]
+        for n in (1, 2, 3, 4):
+            for at in range(len(p) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x9E3779B97F4A7C15 + p[at + k] + k + 1) & mask
+                    h ^= h >> 29
+                yield (h * 0xBF58476D1CE4E5B9 & mask) >> 48
+
+    counts = {la: Counter() for la in stems}
+    for i, t, la in docs:
+        if t and zlib.crc32(str(i).encode()) % 5:
+            for w in langid.LETTERS.findall(t.lower()):
+                counts[la].update(grams(w))
+
+    def score(w):
+        s = [sum(math.log((counts[la][g] + 0.5) / (counts[la].total() + 0.5 * 65536)) for g in grams(w)) for la in sorted(stems)]
+        norm = max(s) + math.log(sum(math.exp(x - max(s)) for x in s))
+        return [max(x - norm, -6.0) for x in s]
+
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(df.select("doc_id", "text"), langid.fit(df)).collect()}
+    for i, t, _ in docs:
+        ws = langid.LETTERS.findall((t or "").lower())
+        if not ws:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        s = [score(w) for w in ws]
+        best = max(product(range(3), repeat=len(ws)), key=lambda p: sum(s[k][x] for k, x in enumerate(p)) - 9.0 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+        letters = [sum(len(w) for w, x in zip(ws, best, strict=True) if x == k) for k in range(3)]
+        top = max(range(3), key=lambda k: (letters[k], -k))
+        assert got[i].lang_pred == sorted(stems)[top] and got[i].score == pytest.approx(letters[top] / sum(letters)), (i, t)
+
+
 def test_model_does_not_see_the_fold(spark):
     rows_ = [(i, "alpha beta gamma delta" if zlib.crc32(str(i).encode()) % 5 else "omega", "en" if zlib.crc32(str(i).encode()) % 5 else "xx") for i in range(40)]
     assert langid.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).languages == ["en"]

@@ -27,7 +27,7 @@ with an equal set, and null if there are none, and carries no link; an empty tab
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +46,7 @@ TILE_BYTES = 48_000_000
 SET_BYTES = 700
 #: More than the size bands; a power of two.
 BANDS = 128
+SetMaker = Callable[[], Callable[[bytes | None], np.ndarray]]
 NEEDS = pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32())]))
 FILTER_BITS = 1 << 24
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -254,13 +255,15 @@ def solve(nodes: list[int], sets: list[np.ndarray], known: list[int], num: int,
     return found
 
 
-def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
+def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE, tile_bytes: int = TILE_BYTES, sets: SetMaker | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of (doc_id, text). sets: makes a function of a text's bytes to its sorted
+    distinct hashes, in place of n-grams of words."""
+    sets = sets or (lambda: Shingler(n))
     spark = df.sparkSession
     docs = plain_columns(df, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(n), set()
+        shingles, seen = sets(), set()
         none = np.zeros(0, np.int64)
         for batch in batches:
             sizes, digests, keys, needs = [], [], [], []
@@ -301,7 +304,7 @@ def join(df: DataFrame, n: int, num: int, den: int, tile: int = TILE, tile_bytes
     # a set's share of a tile, by count and by bytes
     weight = F.greatest(F.lit(1.0 / tile), (F.col("n_shingles") * 8 + SET_BYTES) / tile_bytes)
     active = cut(classes.join(blocks, "id").withColumn("weight", weight), "active")
-    found = cut(compare(docs, active, stars, n, num, den), "links")
+    found = cut(compare(docs, active, stars, sets, num, den), "links")
     comps = components(found)
     of = classes.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = facts.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
@@ -331,7 +334,7 @@ def _filter(df: DataFrame, column: str, size: int) -> np.ndarray:
     return out
 
 
-def solved(docs: DataFrame, tiles: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def solved(docs: DataFrame, tiles: DataFrame, sets: SetMaker, num: int, den: int) -> DataFrame:
     """Links (a, b) found in tiles, of rows (tile, node, digest, known). Texts are dealt to their tiles, which are smaller
     than the sets, and the sets are made there again; a text whose set has another digest is another row of its doc_id."""
     spark = docs.sparkSession
@@ -351,7 +354,7 @@ def solved(docs: DataFrame, tiles: DataFrame, n: int, num: int, den: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("doc_id", "text")], names=["node", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, now = Shingler(n), None
+        shingles, now = sets(), None
         held: dict[bytes, tuple[int, int, np.ndarray]] = {}
 
         def done() -> pa.RecordBatch:
@@ -379,7 +382,7 @@ def solved(docs: DataFrame, tiles: DataFrame, n: int, num: int, den: int) -> Dat
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def compare(docs: DataFrame, active: DataFrame, stars: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def compare(docs: DataFrame, active: DataFrame, stars: DataFrame, sets: SetMaker, num: int, den: int) -> DataFrame:
     """Links (a, b) between the sets of each block, of rows (node, id, digest, weight, block); enough of them for its components."""
     whole = F.col("w") <= 1
     active = active.join(active.groupBy("block").agg(F.sum("weight").alias("w")), "block")
@@ -389,7 +392,7 @@ def compare(docs: DataFrame, active: DataFrame, stars: DataFrame, n: int, num: i
     cuts = large.groupBy("tile").agg(F.ceil(F.sum("weight")).cast("long").alias("cuts"))
     large = large.join(cuts, "tile").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")))
     first = small.unionByName(large.select("node", "digest", F.concat_ws("/", "tile", "part").alias("tile")))
-    found = cut(solved(docs, cut(first.withColumn("known", F.col("node")), "tiles"), n, num, den), "links")
+    found = cut(solved(docs, cut(first.withColumn("known", F.col("node")), "tiles"), sets, num, den), "links")
     hot = large.where("cuts > 1")
     if hot.isEmpty():
         return found
@@ -412,7 +415,7 @@ def compare(docs: DataFrame, active: DataFrame, stars: DataFrame, n: int, num: i
             all_ = state.join(many, "tile").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1))).withColumn("t", F.col("part"))
             keep = ["tile", "node", "digest", "known", "r", "t"]
             tiles = all_.select(*keep).unionByName(rest.select(*keep)).distinct().withColumn("tile", F.concat_ws("/", "tile", "r", "t"))
-        found = cut(found.unionByName(solved(docs, cut(tiles.select("node", "digest", "tile", "known"), "tiles"), n, num, den)), "links")
+        found = cut(found.unionByName(solved(docs, cut(tiles.select("node", "digest", "tile", "known"), "tiles"), sets, num, den)), "links")
     return found
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import plain_columns, table
+from .jaccard import join
 from .quality import STOP_WORDS
 
 ANCHORS = frozenset(w.lower() for w in STOP_WORDS)
@@ -135,5 +136,12 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return with_next(df).mapInArrow(_pairs, OUT)
 
 
+def near_copies(df: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """One row a document: doc_id, n_shingles (the size of its signature set), component_id (the smallest doc_id reachable by
+    likenesses of num / den or more). Sets are partitioned by length, and compared through Jaccard pruned by sizes and bitmaps
+    before the exact one: the join of the n-gram sets, over signatures. No query calls it."""
+    return join(df, n=1, num=num, den=den, sets=lambda: lambda text: signatures((text or b"").decode()))
+
+
 def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
