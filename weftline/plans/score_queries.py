@@ -50,11 +50,10 @@ f AS (SELECT m.id, m.y, m.p, (c.n + 1) / (g.n + g.vocab) AS f, c.n AS c, g.n AS
 BASE = {"signup": 0.5, "view": 0.25, "purchase": 1.0}
 
 
-@query("shannon_surprise", f"WITH {E}, r AS (SELECT count(DISTINCT t // {DAY}) AS n FROM e) SELECT y AS pattern, count(DISTINCT t // {DAY}) AS n, {R('-log2((count(DISTINCT t // ' + str(DAY) + ') + 1) / (any_value(r.n) + 1) / CASE y WHEN ' + repr('signup') + ' THEN 0.5 WHEN ' + repr('view') + ' THEN 0.25 ELSE 1.0 END::DOUBLE)')} AS surprise FROM e, r WHERE y IN ('signup', 'view', 'purchase') AND v > 200 GROUP BY y")
+@query("shannon_surprise", f"WITH {E}, r AS (SELECT count(DISTINCT t // {DAY}) AS n FROM e) SELECT y AS pattern, count(DISTINCT t // {DAY}) AS n, {R('-log2((count(DISTINCT t // ' + str(DAY) + ') + 1) / (any_value(r.n) + 1) / CASE y WHEN ' + repr('signup') + ' THEN 0.5 WHEN ' + repr('view') + ' THEN 0.25 ELSE 1.0 END::DOUBLE)')} AS surprise FROM e, r WHERE y IN ('signup', 'view', 'purchase') GROUP BY y")
 def _(spark, d):
     rounds = seen(spark, d).select("round").distinct().count()
-    r = events(spark, d)
-    some = seen(spark, d).join(r.df.where("value > 200").select(r.source.alias("match_id")), "match_id", "left_semi").where(F.col("pattern").isin(*BASE))
+    some = seen(spark, d).where(F.col("pattern").isin(*BASE))
     return rounded(scoring.surprise(some, rounds, BASE), "surprise")
 
 
