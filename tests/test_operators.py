@@ -116,3 +116,48 @@ def test_reports_and_distinct(spark):
 
     d = parse_document(text)
     assert distinct_matches(evaluate(d.graphs[0].build(spark), d.patterns)).count() == 1
+
+
+def test_ties_like_one_list(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(f"m{i}", r.choice("pq"), r.sample("abcdef", r.randint(0, 5))) for i in range(60)]
+    rows += [(f"t{i}", "p", ["x", "y"]) for i in range(5)]
+    m = spark.createDataFrame(rows, "match_id string, pattern string, properties array<string>")
+    got = {x.match_id: x.score for x in scoring.stu_pmi(m).collect()}
+    for match, pattern, props in rows:
+        lists = [p for _, q, p in rows if q == pattern]
+        n, vocab = len(lists), len({x for p in lists for x in p})
+        count = [sum(x in p for p in lists) for x in props]
+        pairs = {(i, j): sum(props[i] in p and props[j] in p for p in lists) for i in range(len(props)) for j in range(i + 1, len(props))}
+        if props:
+            raw = scoring.corrected([(c + 1) / (n + vocab) for c in count], count, pairs, n)
+            assert got[match] == pytest.approx(1 - (1 - sum(raw) / len(raw)) * (1 - 1 / (n + 1)))
+
+
+def test_violations_like_threads(spark):
+    import random
+
+    r = random.Random(6)
+    opened, closed, want = [], [], set()
+    for k in range(30):
+        t = narrative.Threads()
+        for i in range(12):
+            name = r.choice("abcde")
+            if r.random() < 0.7:
+                t.open(name)
+                opened.append((f"k{k}", name, i))
+            elif name in t.opened:
+                t.close(name)
+                closed.append((f"k{k}", name))
+        want |= {(f"k{k}", a, b) for a, b in t.violations()}
+    got = narrative.violations(spark.createDataFrame(opened, "key string, thread string, t int"), spark.createDataFrame(closed, "key string, thread string"), "key").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_significance(spark):
+    schema = "advanced array<string>, completed array<string>, stalled array<string>, plants array<struct<name:string,payoff:string,active_plants:long,payoffs:long>>, trajectory string, desired string, pivot_magnitude double, surprise double, sequential_surprise double, violations array<string>"
+    df = spark.createDataFrame([(["a"], [], [], [], "rising", "plateau", 0.0, 0.0, 0.0, ["main", "side", "else"]), ([], [], [], [], "rising", "plateau", 0.0, 0.0, 0.0, [])], schema)
+    got = narrative.narrative_score(narrative.significant_signals(df, {"a": 2.0}, {"main": 5.0, "side": 0.5})).select("filo_violations", "weighted_filo_violations", "total").collect()
+    assert [tuple(x) for x in got] == [(3, 6.5, 2.0 - 3 * 6.5), (0, 0.0, 0.0)]

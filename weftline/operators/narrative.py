@@ -123,6 +123,19 @@ class Threads:
         self.closed.clear()
 
 
+def violations(opened: DataFrame, closed: DataFrame, key: str) -> DataFrame:
+    """key, closed, blocking of every key's threads, as Threads.violations gives them.
+
+    opened: key, thread, t, of which the first time counts; closed: key, thread. Both are aggregated before they are paired, so
+    a key is paired over its different threads and not over its events."""
+    first = opened.groupBy(key, "thread").agg(F.min("t").alias("t"))
+    ends = closed.select(key, "thread").distinct().withColumn("ended", F.lit(True))
+    rows = first.join(ends, [key, "thread"], "left")
+    done = rows.where("ended").select(key, F.col("thread").alias("closed"), F.col("t").alias("since"))
+    live = rows.where("ended IS NULL").select(key, F.col("thread").alias("blocking"), "t")
+    return done.join(live, key).where("t > since").select(key, "closed", "blocking")
+
+
 #: The default weight of each signal.
 WEIGHTS = {"advancements": 1.0, "completions": 3.0, "stalled": -2.0, "unresolved_plants": -0.5, "resolutions": 5.0, "filo_violations": -3.0, "tension_fit": 2.0, "pivot_magnitude": 1.5, "surprise": 1.0, "sequential_surprise": 1.0}
 WEIGHTED = ("advancements", "completions", "filo_violations", "resolutions")
@@ -162,6 +175,14 @@ def weighted_signals(ticks: DataFrame, importance: dict[str, float]) -> DataFram
     return signals(rows)
 
 
+def significant_signals(ticks: DataFrame, importance: dict[str, float], threads: dict[str, float]) -> DataFrame:
+    """weighted_signals of rows that also have violations, a list of the closed threads' names, one a violation; each weighs as
+    its thread (1 by default). filo_violations becomes their number."""
+    w = F.create_map(*[x for k, v in threads.items() for x in (F.lit(k), F.lit(float(v)))]) if threads else F.create_map().cast("map<string,double>")
+    total = F.aggregate("violations", F.lit(0.0), lambda a, x: a + F.coalesce(w[x], F.lit(1.0)))
+    return weighted_signals(ticks.withColumns({"filo_violations": F.size("violations"), "weighted_filo_violations": total}), importance)
+
+
 def narrative_score(df: DataFrame, weights: dict[str, float] | None = None, time_scale: float | Column = 1.0) -> DataFrame:
     """With part_<signal> of each of the ten signals and their total. A weighted form is used where it is above 0."""
     weights = WEIGHTS | (weights or {})

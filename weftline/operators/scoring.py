@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,29 +103,31 @@ def corrected(freqs: list[float], counts: list[int], pairs: dict[tuple[int, int]
     return out
 
 
-def stu_pmi(matches: DataFrame) -> DataFrame:
-    """match_id, pattern, score: mean frequency after the correction of tied properties, in the order of a match's list.
+def correct_ties(freqs: Column, ties: Column, n: Column) -> Column:
+    """Frequencies (i, freq) after the correction: of two closely tied properties the commoner one takes its frequency given
+    the other. ties: (i, j, pairs, ni, nj) in the order of i and j; each step sees the last one's result."""
+
+    def step(now: Column, t: Column) -> Column:
+        of = lambda i: F.filter(now, lambda x: x["i"] == i)[0]["freq"]
+        bound = F.log2((t["pairs"] / n) / ((t["ni"] / n) * (t["nj"] / n))) > PMI_BITS
+        first = of(t["i"]) > of(t["j"])
+        high = F.when(first, t["i"]).otherwise(t["j"])
+        given = F.least(F.lit(1.0), t["pairs"] / F.when(first, t["nj"]).otherwise(t["ni"]))
+        return F.transform(now, lambda x: F.struct(x["i"].alias("i"), F.when(bound & (x["i"] == high), given).otherwise(x["freq"]).alias("freq")))
 
-    Each step of the correction sees the last one's result, so it runs in Python over a match's own few numbers, which
-    joins have gathered before."""
+    return F.aggregate(ties, freqs, step)
+
+
+def stu_pmi(matches: DataFrame) -> DataFrame:
+    """match_id, pattern, score: mean frequency after the correction of tied properties, in the order of a match's list."""
     t = property_table(matches)
     each = matches.select("match_id", "pattern", F.posexplode(F.array_distinct("properties")).alias("i", "property"))
     known = each.join(t.select("pattern", "property", "count", "matches", "freq"), ["pattern", "property"])
-    pairs = pair_table(matches)
-    x, y = known.select("match_id", "pattern", F.col("i").alias("i"), F.col("property").alias("p")), known.select("match_id", F.col("i").alias("j"), F.col("property").alias("q"))
-    tied = x.join(y, "match_id").where("i < j").withColumns({"a": F.least("p", "q"), "b": F.greatest("p", "q")}).join(pairs, ["pattern", "a", "b"])
-    lists = known.groupBy("match_id", "pattern").agg(F.array_sort(F.collect_list(F.struct("i", "freq", "count"))).alias("f"), F.max("matches").alias("n"))
-    lists = lists.join(tied.groupBy("match_id").agg(F.collect_list(F.struct("i", "j", "pairs")).alias("t")), "match_id", "left")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            raw = []
-            for f, t_, n in zip(part["f"], part["t"], part["n"], strict=True):
-                place = {r["i"]: k for k, r in enumerate(f)}
-                both = {(place[r["i"]], place[r["j"]]): r["pairs"] for r in t_} if t_ is not None else {}
-                got = corrected([r["freq"] for r in f], [r["count"] for r in f], both, n)
-                raw.append(sum(got) / len(got))
-            yield pd.DataFrame({"match_id": part["match_id"], "pattern": part["pattern"], "raw": raw, "n": part["n"]})
-
-    out = lists.mapInPandas(run, "match_id string, pattern string, raw double, n long")
-    return out.select("match_id", "pattern", attenuate(F.col("raw"), F.col("n"), "mean").alias("score"))
+    x = known.select("match_id", "pattern", "i", F.col("property").alias("p"), F.col("count").alias("ni"))
+    y = known.select("match_id", "pattern", F.col("i").alias("j"), F.col("property").alias("q"), F.col("count").alias("nj"))
+    tied = x.join(y, ["match_id", "pattern"]).where("i < j").withColumns({"a": F.least("p", "q"), "b": F.greatest("p", "q")}).join(pair_table(matches), ["pattern", "a", "b"])
+    ties = tied.groupBy("match_id", "pattern").agg(F.array_sort(F.collect_list(F.struct("i", "j", "pairs", "ni", "nj"))).alias("t"))
+    lists = known.groupBy("match_id", "pattern").agg(F.array_sort(F.collect_list(F.struct("i", "freq"))).alias("f"), F.max("matches").alias("n")).join(ties, ["match_id", "pattern"], "left")
+    got = F.when(F.col("t").isNull(), F.col("f")).otherwise(correct_ties(F.col("f"), F.col("t"), F.col("n").cast("double")))
+    raw = F.aggregate(got, F.lit(0.0), lambda a, v: a + v["freq"]) / F.size("f")
+    return lists.select("match_id", "pattern", attenuate(raw, F.col("n"), "mean").alias("score"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import causality, discovery, narrative, scoring
-from ..sources.projections import causes, events, micros, node_id, table
+from ..sources.projections import branching_causes, causes, events, micros, node_id, table
 from .batch_queries import _CASE, E
 from .flow_queries import DAY
 
@@ -69,7 +70,26 @@ query("stu_property_frequency", f"WITH {M} SELECT c.y AS pattern, c.p AS propert
 query("stu_pmi_pairs", f"WITH {M}, q AS (SELECT a.y, a.p AS a, b.p AS b, count(*) AS n FROM m a JOIN m b ON a.id = b.id AND a.p < b.p GROUP BY ALL) SELECT q.y AS pattern, q.a, q.b, q.n AS pairs, {R('log2((q.n / g.n) / ((x.n / g.n) * (z.n / g.n)))')} AS pmi FROM q JOIN g ON q.y = g.y JOIN c x ON x.y = q.y AND x.p = q.a JOIN c z ON z.y = q.y AND z.p = q.b")(
     lambda spark, d: rounded(scoring.pmi(seen(spark, d)), "pmi")
 )
-query("stu_pmi")(lambda spark, d: rounded(scoring.stu_pmi(seen(spark, d)), "score"))
+
+
+def tied(spark: SparkSession, d: str) -> DataFrame:
+    """seen(), with a finer class of the value, which a level always goes with, in place of k."""
+    value = events(spark, d).df.select(node_id("ev", "event_id").alias("match_id"), F.concat(F.lit("b"), F.coalesce(F.floor(F.col("value") / 25), F.lit(0)).cast("string")).alias("fine"))
+    return seen(spark, d).join(value, "match_id").withColumn("properties", F.array(F.col("properties")[1], "fine", F.col("properties")[2]))
+
+
+def _tie(i: int, j: int) -> str:
+    """One step of the correction over f1, f2, f3."""
+    bound = f"log2((q{i}{j} / n) / ((n{i} / n) * (n{j} / n))) > 1"
+    return f"* REPLACE (CASE WHEN {bound} AND f{i} > f{j} THEN least(1, q{i}{j} / n{j}) ELSE f{i} END AS f{i}, CASE WHEN {bound} AND f{i} <= f{j} THEN least(1, q{i}{j} / n{i}) ELSE f{j} END AS f{j})"
+
+
+T = f"""{E}, w AS (SELECT id, y, CASE WHEN v < 20 THEN 'low' WHEN v < 100 THEN 'mid' ELSE 'high' END AS p1, 'b' || coalesce(floor(v / 25), 0)::BIGINT AS p2, 'h' || (t // 43200000000 % 2 = 1) AS p3 FROM e),
+m AS (SELECT id, y, unnest([p1, p2, p3]) AS p FROM w), c AS (SELECT y, p, count(*) AS n FROM m GROUP BY ALL), g AS (SELECT y, count(DISTINCT id) AS n, count(DISTINCT p) AS vocab FROM m GROUP BY y),
+q AS (SELECT a.y, a.p AS a, b.p AS b, count(*) AS n FROM m a JOIN m b ON a.id = b.id AND a.p <> b.p GROUP BY ALL),
+z AS (SELECT w.id, w.y, g.n, {', '.join(f'c{i}.n AS n{i}, ((c{i}.n + 1) / (g.n + g.vocab))::DOUBLE AS f{i}' for i in (1, 2, 3))}, {', '.join(f'q{i}{j}.n AS q{i}{j}' for i, j in ((1, 2), (1, 3), (2, 3)))} FROM w JOIN g ON g.y = w.y {' '.join(f'JOIN c c{i} ON c{i}.y = w.y AND c{i}.p = w.p{i}' for i in (1, 2, 3))} {' '.join(f'JOIN q q{i}{j} ON q{i}{j}.y = w.y AND q{i}{j}.a = w.p{i} AND q{i}{j}.b = w.p{j}' for i, j in ((1, 2), (1, 3), (2, 3)))}),
+z1 AS (SELECT {_tie(1, 2)} FROM z), z2 AS (SELECT {_tie(1, 3)} FROM z1), z3 AS (SELECT {_tie(2, 3)} FROM z2)"""
+query("stu_pmi", f"WITH {T} SELECT id AS match_id, y AS pattern, {R('1 - (1 - (f1 + f2 + f3) / 3) * (1 - 1 / (n + 1))')} AS score FROM z3")(lambda spark, d: rounded(scoring.stu_pmi(tied(spark, d)), "score"))
 query(
     "stu_role",
     f"WITH {M}, rc AS (SELECT y, role, p, count(*) AS n FROM m GROUP BY ALL), rg AS (SELECT y, role, count(DISTINCT id) AS n, count(DISTINCT p) AS vocab FROM m GROUP BY ALL) SELECT m.id AS match_id, m.y AS pattern, m.role, {R('avg((rc.n + 1) / (rg.n + rg.vocab))')} AS score FROM m JOIN rc ON m.y = rc.y AND m.role = rc.role AND m.p = rc.p JOIN rg ON m.y = rg.y AND m.role = rg.role GROUP BY m.id, m.y, m.role",
@@ -121,24 +141,32 @@ query("narrative_score_weighted", f"WITH {N} SELECT u AS actor, tick, {R('2 * ((
 )
 
 
-@query("filo_violations")
+def thread_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Threads of a user's kinds: opened by the first event of a kind, closed by an error after it."""
+    rows = seen(spark, d).select("actor", "pattern", "t")
+    last = F.last(F.when(F.col("pattern") != "error", F.col("pattern")), True).over(W.partitionBy("actor").orderBy("t"))
+    closed = rows.withColumn("thread", last).where("pattern = 'error' AND thread IS NOT NULL")
+    return narrative.violations(rows.where("pattern <> 'error'").withColumnRenamed("pattern", "thread"), closed, "actor")
+
+
+F_ = f"""{N}, o AS (SELECT u, y, min(t) AS t FROM e WHERE y <> 'error' GROUP BY ALL), l AS (SELECT u, y, last_value(CASE WHEN y <> 'error' THEN y END IGNORE NULLS) OVER (PARTITION BY u ORDER BY t) AS x FROM e),
+cl AS (SELECT DISTINCT u, x AS y FROM l WHERE y = 'error' AND x IS NOT NULL), vi AS (SELECT a.u, a.y AS closed, b.y AS blocking FROM o a JOIN cl ON cl.u = a.u AND cl.y = a.y JOIN o b ON b.u = a.u AND b.t > a.t WHERE NOT EXISTS (SELECT 1 FROM cl k WHERE k.u = b.u AND k.y = b.y))"""
+query("filo_violations", f"WITH {F_} SELECT u AS actor, closed, blocking FROM vi")(thread_violations)
+
+
+@query(
+    "narrative_significance",
+    f"WITH {F_}, vs AS (SELECT u, sum(CASE WHEN closed = 'view' THEN 4 WHEN closed = 'click' THEN 0.25 ELSE 1 END) AS w FROM vi GROUP BY u) SELECT z.u AS actor, tick, {R('(adv - adv1) + 3.0 * adv1 + 3 * comp + 5 * res - 3 * coalesce(vs.w, 0) ' + REST)} AS total FROM z LEFT JOIN vs ON vs.u = z.u",
+)
 def _(spark, d):
-    """Threads of a user's kinds: opened by the first event of a kind, closed by an error after it; replayed a user."""
-    import pandas as pd
+    of = thread_violations(spark, d).groupBy("actor").agg(F.collect_list("closed").alias("violations"))
+    rows = day_rows(spark, d).drop("filo_violations").join(of, "actor", "left").withColumn("violations", F.coalesce("violations", F.array().cast("array<string>")))
+    return rounded(narrative.narrative_score(narrative.significant_signals(rows, {"a_r1": 3.0}, {"view": 4.0, "click": 0.25})).select("actor", "tick", "total"), "total")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = narrative.Threads()
-        last = None
-        for x in pdf.sort_values("t").itertuples():
-            if x.pattern == "error" and last is not None:
-                t.close(last)
-            elif x.pattern != "error":
-                t.open(x.pattern)
-                last = x.pattern
-        rows = [(x, a, b) for x in pdf["actor"][:1] for a, b in t.violations()]
-        return pd.DataFrame(rows, columns=["actor", "closed", "blocking"])
 
-    return seen(spark, d).select("actor", "pattern", "t").groupBy("actor").applyInPandas(run, "actor string, closed string, blocking string")
+query("pivot_average", f"WITH {P}, pv AS (SELECT k.u, k.tick, CASE WHEN any_value(tt.prev) IS NULL THEN 0 ELSE least(1, sqrt(sum((sqrt(p) - sqrt(q)) * (sqrt(p) - sqrt(q))) / 2)) END AS x FROM k JOIN tt ON tt.u = k.u AND tt.tick = k.tick GROUP BY k.u, k.tick) SELECT u AS actor, tick, {R('avg(x) OVER (PARTITION BY u ORDER BY tick ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)')} AS average FROM pv")(
+    lambda spark, d: rounded(narrative.average_pivot(narrative.pivots(seen(spark, d).select("actor", F.col("round").alias("tick"), F.col("pattern").alias("kind")), "actor", "hellinger"), "actor", 4).select("actor", "tick", "average"), "average")
+)
 
 
 # causality: the effects are purchases over 100
@@ -172,6 +200,20 @@ def _(spark, d):
     return rounded(causality.causal_surprise(*_paths(spark, d)), "surprise")
 
 
+# two causes: the user's last event, and the user's last one of the same type
+B = f"""{E}, b AS (SELECT id AS node, lag(id) OVER z AS cause, lag(t) OVER z AS t, 0.9 AS w FROM e WINDOW z AS (PARTITION BY u ORDER BY t, event_id) UNION ALL SELECT id, lag(id) OVER z, lag(t) OVER z, 0.6 FROM e WINDOW z AS (PARTITION BY u, y ORDER BY t, event_id)),
+cs AS (SELECT * FROM b WHERE cause IS NOT NULL), br AS (SELECT node, count(*) AS n FROM cs GROUP BY node),
+h1 AS (SELECT e.id AS effect, cs.cause, cs.t, cs.w, br.n - 1 AS dv FROM e JOIN cs ON cs.node = e.id JOIN br ON br.node = e.id WHERE e.y = 'purchase' AND e.v > 100),
+bp AS (SELECT effect, cause || '>' || effect AS path, dv, w AS conf, w AS mean, 0 AS gap FROM h1 UNION ALL SELECT h1.effect, cs.cause || '>' || h1.cause || '>' || h1.effect, dv + br.n - 1, least(h1.w, cs.w), (h1.w + cs.w) / 2, h1.t - cs.t FROM h1 JOIN cs ON cs.node = h1.cause AND cs.t < h1.t JOIN br ON br.node = h1.cause)"""
+
+
+@query("causal_branches", f"WITH {B} SELECT effect, path, dv::BIGINT AS divergence, {R('conf')} AS confidence, {R(f'mean * (1 - 0.5 * (1 - exp(-(gap / {MINUTE}) / 50))) / (1 + dv)')} AS cleanliness FROM bp")
+def _(spark, d):
+    effects = table(spark, d, "events").where("event_type = 'purchase' AND value > 100").select(node_id("ev", "event_id").alias("effect"))
+    paths = causality.scored(causality.causal_paths(branching_causes(spark, d), effects, {"causes": 0.9, "repeats": 0.6}, 2), MINUTE)
+    return rounded(paths.select("effect", F.array_join("nodes", ">").alias("path"), "divergence", "confidence", "cleanliness"), "confidence", "cleanliness")
+
+
 # discovery: a trace of visits, actor to a page, over whole hours
 def trace(spark: SparkSession, d: str) -> discovery.Trace:
     r = events(spark, d)
@@ -212,10 +254,8 @@ def _(spark, d):
 
     tr = trace(spark, d)
     p = discovery.build(SimpleNamespace(shared=0, label_a="signup", label_b="purchase", relation="before"), 0)
-    n = find(tr.graph(), p).agg(F.count(F.lit(1)).alias("matches")).join(tr.df.agg(F.count(F.lit(1)).alias("edges")))
-    ratio = F.col("matches") / F.col("edges")
-    score = F.when(F.col("matches") == 0, 0.0).otherwise(F.when(ratio > 0.5, 0.5 / ratio).otherwise(F.greatest(F.log("matches"), F.lit(0.0))) * 3)
-    return rounded(n.select("matches", score.alias("score")), "score")
+    found = find(tr.graph(), p).count()
+    return rounded(spark.createDataFrame([(found, float(discovery.quality(found, tr.size(), p)))], "matches long, score double"), "score")
 
 
 @query("corpus_time_range", f"WITH {X} SELECT min(a) AS lo, max(b) AS hi FROM t")

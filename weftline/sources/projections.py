@@ -62,6 +62,16 @@ def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("edge_seq"), node_id("ev", "event_id").alias("source"), F.lit("causes").alias("label"), F.lit(NODE).alias("rank"), node_id("ev", "next").alias("s"), null("double").alias("n"), null("boolean").alias("b"), micros("ts").alias("start_t"), null("bigint").alias("end_t"))
 
 
+def branching_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """causes(), and "repeats" from an event to the same user's next one of the same type: an event may have two causes."""
+    e = table(spark, sf_dir, "events")
+    after = F.lead("event_id").over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    rows = e.withColumn("next", after).where("next IS NOT NULL")
+    null = lambda t: F.lit(None).cast(t)
+    again = rows.select(F.col("event_id").alias("edge_seq"), node_id("ev", "event_id").alias("source"), F.lit("repeats").alias("label"), F.lit(NODE).alias("rank"), node_id("ev", "next").alias("s"), null("double").alias("n"), null("boolean").alias("b"), micros("ts").alias("start_t"), null("bigint").alias("end_t"))
+    return causes(spark, sf_dir).unionByName(again)
+
+
 def event_graph(spark: SparkSession, sf_dir: str, now: int | None = None) -> TemporalGraph:
     return TemporalGraph(spark, now, None, (events(spark, sf_dir),))
 
