@@ -1,12 +1,13 @@
 """Scenarios of the fixtures, evaluated in batch."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions.values import Node
 from weftline.plans.batch import evaluate, find, first
 from weftline.plans.compose import choice, repeat, sequence
 from weftline.plans.pattern import Lit, Op, PatternBuilder, PatternError, Ref
-from weftline.sources.graph import TemporalGraph
+from weftline.sources.graph import Relation, Source, TemporalGraph
 
 N = Node
 
@@ -166,3 +167,62 @@ def test_graph_changes(spark):
     assert g.predecessors("y", "state").count() == 0
     assert g.add_ref("c", "knows", "a", 2).predecessors("a", "knows").count() == 1
     assert g.add_event("e", "attack", ["violent", "harm"], 4).edges().count() == 5
+
+
+class Folders(Source):
+    """A store of one table a label."""
+
+    def __init__(self, spark, tables, now):
+        self.spark, self.tables, self.now = spark, tables, now
+
+    def edges(self, label=None):
+        parts = list(self.tables.values()) if label is None else [self.tables[label]] if label in self.tables else [TemporalGraph(self.spark, None).edges()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+def test_own_store(spark):
+    rows = event("p1", "order", 1, who=N("ann")) + event("p2", "cancel", 4, who=N("ann")) + event("p3", "order", 5, who=N("ben"), end=7) + event("p4", "refund", 8, who=N("ann"))
+    g = graph(spark, rows)
+    own = Folders(spark, {x: g.edges(x) for x in ("eventType", "who")}, 10)
+    p = PatternBuilder("back").stage("a").edge("a", "eventType", "order").bind("a", "who", "who").done()
+    p = p.stage("b").edge("b", "eventType", "refund").bind("b", "who", "who").done()
+    seen = lambda graph, p: sorted(map(str, find(graph, p).collect()))
+    assert len(seen(own, p.build())) == 1 and seen(own, p.build()) == seen(g, p.build())
+    blocked = p.unless_between("a", "b").edge("x", "eventType", "cancel").bind("x", "who", "who").done().build()
+    assert seen(own, blocked) == seen(g, blocked) == []
+    assert own.scan("who").count() == 3 and own.scan_any_time("who").count() == 4 and own.scan("nothing").isEmpty()
+    assert own.predecessors("ann", "who").count() == 3 and own.edges_from("p3", "who", 6).count() == 1
+
+
+def test_fractional_times(spark):
+    rows = event("e1", "a", 1.25, 1.5, who=N("x")) + event("e2", "b", 1.75, 2, who=N("x")) + event("e3", "b", 2.75, 3, who=N("x"))
+    p = PatternBuilder("near").stage("a").edge("a", "eventType", "a").bind("a", "who", "w").done().stage("b").edge("b", "eventType", "b").bind("b", "who", "w").done()
+    p = p.temporal("a", "before", "b", 0.25, 1.0).build()
+    table = TemporalGraph.of(spark, rows, None, "double")
+    wide = spark.createDataFrame([(r[0], r[2], "x", float(r[3]), float(r[4]), i) for i, r in enumerate(rows[::2])], "e string, kind string, who string, at double, until double, i int")
+    r = Relation(wide, F.col("e"), {"eventType": (1, F.col("kind")), "who": (0, F.col("who"))}, F.col("at"), F.col("until"), F.col("i"), "double")
+    for g in (table, TemporalGraph(spark, None, relations=(r,), time="double")):
+        got = find(g, p).collect()
+        assert [(x["a__start"], x["b__start"], x["b__end"]) for x in got] == [(1.25, 1.75, 2.0)]
+        assert find(g, p, at=1.3).isEmpty() and evaluate(g, [p]).count() == 1
+        assert dict(find(g, PatternBuilder("none").build()).dtypes) == {}
+    with pytest.raises(ValueError, match="seq"):
+        Relation(wide, F.col("e"), {}, F.col("at"), time="double")
+    closed, hit = TemporalGraph.of(spark, [("n", "l", "v", 0.5)], None, "double").end_edge("n", "l", 2)
+    assert hit and closed.edges().first()["end_t"] == 2.0 and closed.add_edge("n", "l", 1, 3).edges().count() == 2
+
+
+def test_window_without_end_is_decided_by_the_latest(spark):
+    p = PatternBuilder("quiet").stage("a").edge("a", "eventType", "in").bind("a", "who", "w").done()
+    per = p.unless_after("a").edge("x", "eventType", "out").bind("x", "who", "w").done().build()
+    rows = event("a1", "in", 1, who=N("u")) + event("a2", "in", 4, who=N("u")) + event("a3", "in", 2, who=N("v")) + event("x1", "out", 3, who=N("u")) + event("x2", "out", 2, who=N("v")) + event("x3", "out", 2, who=N("u"))
+    df = find(graph(spark, rows), per)
+    assert sorted(r.a.s for r in df.collect()) == ["a2", "a3"]  # one at the same time is not after
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 1
+    p = PatternBuilder("end").stage("a").edge("a", "eventType", "in").done()
+    anyone = p.unless_after("a").edge("x", "eventType", "out").done().build()
+    assert sorted(r.a.s for r in find(graph(spark, rows), anyone).collect()) == ["a2"]
+    assert find(graph(spark, event("a1", "in", 1)), anyone).count() == 1

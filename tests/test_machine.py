@@ -6,6 +6,7 @@ from datetime import datetime
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions.intervals import INVERSE, RELATIONS, relation_of
 from weftline.functions.values import Node, compare_python
@@ -252,3 +253,25 @@ def test_order_across_kinds():
     nan = float("nan")
     assert compare_python("<", N("x"), "a") and compare_python("<", "z", 1.0) and compare_python(">", True, 5)
     assert not compare_python("=", nan, nan) and not compare_python("<", nan, 1.0) and not compare_python("=", N("a"), "a")
+
+
+def test_fractional_times(spark):
+    p = chain("a", "b").build()
+    rows = [(e, x, v, t) for e, k, t in (("e1", "a", 0.25), ("e2", "b", 0.75), ("e3", "b", 0.5)) for x, v in (("eventType", k), ("actor", Node("u")))]
+    edges = TemporalGraph.of(spark, rows, None, "double").edges().withColumn("shard", F.lit("u"))
+    log = shards.replay(edges, [replace(p, deadline=None)], lambda t: int(t * 2))
+    done = log.where("kind = 'completed'").collect()
+    assert sorted((r.starts["e1"], r.starts["e2"], r["at"], r.tick) for r in done) == [(0.25, 0.5, 0.5, 1), (0.25, 0.75, 0.75, 1)]
+
+
+def test_plants_without_an_open_run_are_not_stale():
+    m = Machine([replace(chain("a", "z").build(), name="plant")])
+    m.register_pair("gun", "plant", "payoff")
+    for label, value in [("eventType", "a"), ("actor", Node("u"))]:
+        m.insert(Edge("e1", label, value, 1))
+    m.notify(Edge("e1", "eventType", "a", 1))
+    for _ in range(5):
+        m.end_tick()
+    assert [x["stale"] for x in m.plant_status(3)] == [True]
+    m.kill_involving("u")
+    assert [(x["stale"], x["active_plants"], x["ticks_since_advance"]) for x in m.plant_status(3)] == [(False, 0, 5)]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals
 from ..functions.values import NODE, NUM, STRUCT, Parts, compare, node, number
-from ..sources.graph import Relation, TemporalGraph
+from ..sources.graph import Relation, Source, TemporalGraph
 from ..sources.predicates import matches
 from .pattern import Bind, Clause, Constraint, Expr, Is, Lit, Negation, Pattern, PatternError, Ref, Stage, target_vars
 
@@ -66,8 +66,8 @@ class Rows:
 
 @dataclass
 class Compiler:
-    graph: TemporalGraph
-    at: int | None
+    graph: Source
+    at: float | None
     visibility: str = "now"
     let: LetEvaluator = default_let
 
@@ -84,7 +84,7 @@ class Compiler:
     # stages
     def wide(self, stage: Stage, clauses: list[Clause], r: Relation, always: bool = False) -> Rows:
         """A stage whose clauses all read one wide table."""
-        df = r.df.where(self.seen(r.start.cast("bigint"), r.ends(), always))
+        df = r.df.where(self.seen(r.starts(), r.ends(), always))
         values: dict[str, Column] = {}
         tests: list[Column] = []
         for c in clauses:
@@ -103,7 +103,7 @@ class Compiler:
             df = df.where(t)
         values[clauses[0].source] = node(r.source.cast("string"))
         cols = [c.alias(V + n) for n, c in values.items()]
-        df = df.select(*cols, r.start.cast("bigint").alias(T + stage.anchor), r.ends().alias(E + stage.anchor), r.order().alias(Q + stage.anchor))
+        df = df.select(*cols, r.starts().alias(T + stage.anchor), r.ends().alias(E + stage.anchor), r.order().alias(Q + stage.anchor))
         return Rows(df, set(values), [stage.anchor])
 
     def stage(self, stage: Stage, outer: set[str], always: bool = False) -> tuple[Rows, list[Clause], list[Callable[[Rows], Column]]]:
@@ -245,6 +245,9 @@ class Compiler:
         body, waiting, tests = self.body(n, acc.vars)
         shared = body.vars & acc.vars
         right = body.df.select(*[F.col(c).alias(f"n__{c}") for c in body.df.columns])
+        if n.end is None and not waiting and not tests:
+            # a window without an end: the latest occurrence of a key decides, and it is found before the shuffle
+            right = right.groupBy(*[f"n__{V}{name}" for name in sorted(shared)]).agg(F.max(f"n__{T}n").alias(f"n__{T}n"))
 
         def condition(left: DataFrame) -> Column:
             on = F.lit(True)
@@ -275,13 +278,13 @@ class Compiler:
         return Rows(acc.df.join(gone, on, "left_anti"), acc.vars, acc.anchors)
 
 
-def find(graph: TemporalGraph, p: Pattern, at: int | None = None, visibility: str = "now", let: LetEvaluator = default_let) -> DataFrame:
+def find(graph: Source, p: Pattern, at: float | None = None, visibility: str = "now", let: LetEvaluator = default_let) -> DataFrame:
     """All matches, one column a variable (its value struct) and <anchor>__start, <anchor>__end, <anchor>__seq."""
     c = Compiler(graph, graph.now if at is None else at, visibility, let)
     rows = c.matches(p)
     names = sorted(p.all_vars() - {n.source for n in ()})
     if rows is None:
-        cols = [f"{v} {STRUCT}" for v in names] + [f"{s.anchor}__{x} bigint" for s in p.stages for x in ("start", "end", "seq")]
+        cols = [f"{v} {STRUCT}" for v in names] + [f"{s.anchor}__{x} {t}" for s in p.stages for x, t in (("start", graph.time), ("end", graph.time), ("seq", "bigint"))]
         return graph.spark.createDataFrame([], ", ".join(cols))
     out = [F.col(V + v).alias(v) for v in sorted(rows.vars)]
     for a in rows.anchors:
@@ -289,7 +292,7 @@ def find(graph: TemporalGraph, p: Pattern, at: int | None = None, visibility: st
     return rows.df.select(*out)
 
 
-def first(graph: TemporalGraph, p: Pattern, n: int = 1, **how) -> DataFrame:
+def first(graph: Source, p: Pattern, n: int = 1, **how) -> DataFrame:
     """The first n matches in the order of their edges."""
     df = find(graph, p, **how)
     if n <= 0 or not p.stages:
@@ -297,7 +300,7 @@ def first(graph: TemporalGraph, p: Pattern, n: int = 1, **how) -> DataFrame:
     return df.orderBy(*[f"{s.anchor}__seq" for s in p.stages]).limit(n)
 
 
-def packed(graph: TemporalGraph, p: Pattern, index: int | None = None, **how) -> DataFrame:
+def packed(graph: Source, p: Pattern, index: int | None = None, **how) -> DataFrame:
     """Matches as pattern, pattern_idx, bindings, intervals, metadata: one schema for every pattern."""
     df = find(graph, p, **how)
     names = [c for c in df.columns if not c.endswith(("__start", "__end", "__seq"))]
@@ -305,11 +308,11 @@ def packed(graph: TemporalGraph, p: Pattern, index: int | None = None, **how) ->
     entry = lambda pairs: F.map_from_arrays(F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[b for _, b in pairs])) if pairs else F.create_map()
     meta = entry([(k, F.lit(v)) for k, v in p.metadata]).cast("map<string,string>")
     bindings = entry([(n, F.col(n)) for n in names]).cast(f"map<string,{STRUCT}>")
-    spans = entry([(a, F.struct(F.col(f"{a}__start").alias("start"), F.col(f"{a}__end").alias("end"))) for a in anchors]).cast("map<string,struct<start:bigint,end:bigint>>")
+    spans = entry([(a, F.struct(F.col(f"{a}__start").alias("start"), F.col(f"{a}__end").alias("end"))) for a in anchors]).cast(f"map<string,struct<start:{graph.time},end:{graph.time}>>")
     return df.select(F.lit(p.name).alias("pattern"), F.lit(index).cast("int").alias("pattern_idx"), bindings.alias("bindings"), spans.alias("intervals"), meta.alias("metadata"))
 
 
-def evaluate(graph: TemporalGraph, patterns: list[Pattern], **how) -> DataFrame:
+def evaluate(graph: Source, patterns: list[Pattern], **how) -> DataFrame:
     """The matches of all patterns but the private ones."""
     out = None
     for i, p in enumerate(patterns):

@@ -42,7 +42,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def _edge(r, i: int) -> list:
     (label,) = r.labels
     v = r.value(label)
-    return [(r.order() * 2 + i).alias("edge_seq"), r.source.alias("source"), F.lit(label).alias("label"), v.rank.cast("int").alias("rank"), v.s.alias("s"), v.n.alias("n"), v.b.alias("b"), r.start.cast("bigint").alias("start_t"), r.ends().alias("end_t")]
+    return [(r.order() * 2 + i).alias("edge_seq"), r.source.alias("source"), F.lit(label).alias("label"), v.rank.cast("int").alias("rank"), v.s.alias("s"), v.n.alias("n"), v.b.alias("b"), r.starts().alias("start_t"), r.ends().alias("end_t")]
 
 
 def day(t: int) -> int:

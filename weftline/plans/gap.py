@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import Parts
-from ..sources.graph import TemporalGraph
+from ..sources.graph import Source, TemporalGraph
 from ..sources.predicates import matches
 from .batch import E, Q, T, V, Compiler, Rows
 from .pattern import Bind, Clause, Constraint, Pattern, Stage, target_vars
@@ -17,7 +17,7 @@ from .pattern import Bind, Clause, Constraint, Pattern, Stage, target_vars
 SCHEMA = "stage int, anchor string, clause int, label string, matched boolean, reason string"
 
 
-def clauses(graph: TemporalGraph, p: Pattern, at: int | None = None, visibility: str = "now") -> DataFrame:
+def clauses(graph: Source, p: Pattern, at: float | None = None, visibility: str = "now") -> DataFrame:
     """One row a clause: stage, anchor, clause, label, matched, reason. A stage without clauses matches and has no rows."""
     c = Compiler(graph, graph.now if at is None else at, visibility)
     acc: Rows | None = None

@@ -19,7 +19,8 @@ from ..functions.values import Literal, Node
 from ..plans.pattern import Bind, Constraint, Expr, Is, Lit, Pattern, Ref, Stage, target_vars
 from ..sources.predicates import matches_python
 
-Span = tuple[int, int | None]
+Time = int | float
+Span = tuple[Time, Time | None]
 
 
 @dataclass(frozen=True)
@@ -27,10 +28,10 @@ class Edge:
     source: str
     label: str
     value: Literal
-    start: int
-    end: int | None = None
+    start: Time
+    end: Time | None = None
 
-    def covers(self, t: int) -> bool:
+    def covers(self, t: Time) -> bool:
         return self.start <= t and (self.end is None or t < self.end)
 
 
@@ -130,7 +131,7 @@ def triggers(e: Edge) -> tuple:
 
 
 class Machine:
-    def __init__(self, patterns: Iterable[Pattern] = (), now: int | None = None, evaluator: LetEvaluator = evaluate_let) -> None:
+    def __init__(self, patterns: Iterable[Pattern] = (), now: Time | None = None, evaluator: LetEvaluator = evaluate_let) -> None:
         self.evaluator = evaluator
         self.patterns: list[Pattern] = []
         self.enabled: list[bool] = []
@@ -225,7 +226,7 @@ class Machine:
             self.keys.discard(r.key())
         return [r for r in done if not self.patterns[r.pattern].private]
 
-    def evict(self, before: int, idle: bool = False) -> int:
+    def evict(self, before: Time, idle: bool = False) -> int:
         """Forgets edges that ended by a time, which no later edge can see; with idle also those of sources without an edge
         since then that no active run holds. A negation over a one-stage match looks at all times: then nothing goes."""
         if any(len(p.stages) == 1 and p.negations for p in self.patterns):
@@ -285,10 +286,10 @@ class Machine:
                 group.append(e)
         return out
 
-    def _at(self, source: str, label: str, t: int | None) -> Iterator[Edge]:
+    def _at(self, source: str, label: str, t: Time | None) -> Iterator[Edge]:
         return (e for e in self.store.get((source, label), ()) if t is None or e.covers(t))
 
-    def _clock(self, e: Edge) -> int:
+    def _clock(self, e: Edge) -> Time:
         return e.start if self.now is None else self.now
 
     @staticmethod
@@ -522,5 +523,5 @@ class Machine:
         for name, plant, payoff, _ in self.pairs:
             last = self.metrics[at[plant]].last_advanced if plant in at else None
             since = None if last is None else self.tick - last
-            out.append({"name": name, "active_plants": len(self.active(plant)), "payoffs": self.metrics[at[payoff]].completed if payoff in at else 0, "ticks_since_advance": since, "stale": since is not None and since >= stale})
+            out.append({"name": name, "active_plants": len(self.active(plant)), "payoffs": self.metrics[at[payoff]].completed if payoff in at else 0, "ticks_since_advance": since, "stale": since is not None and since >= stale and bool(self.active(plant))})
         return out

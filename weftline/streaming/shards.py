@@ -3,7 +3,8 @@
 A shard key is a value that a match's edges share (an actor, say): every edge is routed to its shards before it comes here.
 Without one, a constant key gives one machine, as a single process would: exclusive groups and endings of runs hold within
 a machine, so that patterns which must end each other belong to shards that both share. State is the machine itself, kept by Spark's
-state store; a restarted task continues from the last committed one."""
+state store; a restarted task continues from the last committed one. Times are whole numbers, or doubles where start_t has
+a fractional type."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ from ..plans.pattern import Bind, Pattern
 from .machine import Edge, Event, Machine, TickDelta
 
 EVENTS = "shard string, kind string, pattern string, match_id long, stage_index int, bindings map<string,string>, clause_label string, trigger_source string, stage_reached int, ticks_elapsed int, starts map<string,bigint>, reps int, tick long, at long"
+FRACTIONAL = ("float", "double", "decimal")
 COLUMNS = ["shard", "edge_seq", "source", "label", "rank", "s", "n", "b", "start_t", "end_t"]
 
 
@@ -45,18 +47,26 @@ def _value(rank: int, s: Any, n: Any, b: Any) -> Literal:
 
 
 def edges_of(pdf: pd.DataFrame) -> Iterator[Edge]:
+    t = float if pdf["start_t"].dtype.kind == "f" else int
     for x in pdf.itertuples(index=False):
-        yield Edge(x.source, x.label, _value(x.rank, x.s, x.n, x.b), int(x.start_t), None if pd.isna(x.end_t) else int(x.end_t))
+        yield Edge(x.source, x.label, _value(x.rank, x.s, x.n, x.b), t(x.start_t), None if pd.isna(x.end_t) else t(x.end_t))
 
 
-def _row(shard: str, e: Event, tick: int, at: int | None) -> tuple:
+def timed(edges: DataFrame, columns: list[str] = COLUMNS) -> tuple[DataFrame, str]:
+    """The edges' columns with times of one type, and the schema of their events."""
+    whole = not edges.schema["start_t"].dataType.typeName().startswith(FRACTIONAL)
+    out = edges.select(*[F.col(c).cast("long" if whole else "double").alias(c) if c in ("start_t", "end_t") else F.col(c) for c in columns])
+    return out, EVENTS if whole else EVENTS.replace("map<string,bigint>", "map<string,double>").replace("at long", "at double")
+
+
+def _row(shard: str, e: Event, tick: int, at: float | None) -> tuple:
     show = lambda v: v.id if isinstance(v, Node) else str(v)
     return (shard, e.kind, e.pattern, e.match_id, e.stage_index, {k: show(v) for k, v in e.bindings.items()}, e.clause_label, e.trigger_source, e.stage_reached, e.ticks_elapsed, {k: s[0] for k, s in e.spans.items()}, e.reps, tick, at)
 
 
 NAMES = [x.split()[0] for x in EVENTS.split(", ")]
 TEXTS = pa.map_(pa.string(), pa.string())
-TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": TEXTS, "map<string,bigint>": pa.map_(pa.string(), pa.int64()), "array<string>": pa.list_(pa.string())}
+TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": TEXTS, "double": pa.float64(), "map<string,bigint>": pa.map_(pa.string(), pa.int64()), "map<string,double>": pa.map_(pa.string(), pa.float64()), "array<string>": pa.list_(pa.string())}
 #: Event rows, or edges of one shard, that are handed on at once.
 ROWS = 5000
 
@@ -71,7 +81,7 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 class Drive:
     """Feeds a machine edges by start time, and ends the ticks that lie before them."""
 
-    def __init__(self, machine: Machine, shard: str, tick_of: Callable[[int], int] | None = None, each_tick: Callable[[TickDelta], tuple] | None = None, stale: int = 10) -> None:
+    def __init__(self, machine: Machine, shard: str, tick_of: Callable[[float], int] | None = None, each_tick: Callable[[TickDelta], tuple] | None = None, stale: int = 10) -> None:
         self.machine, self.shard, self.tick_of, self.each_tick, self.stale = machine, shard, tick_of, each_tick, stale
         self.group: list[Edge] = []
         self.out: list[tuple] = []
@@ -116,7 +126,7 @@ def _edges(batch: pa.RecordBatch) -> Iterator[tuple[str, Edge]]:
         yield shard, Edge(source, label, _value(rank, s, n, b), start, end)
 
 
-def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None, schema: str, take: Callable[[Drive, bool], list[tuple]], **how: Any) -> DataFrame:
+def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float], int] | None, schema: str, take: Callable[[Drive, bool], list[tuple]], **how: Any) -> DataFrame:
     """Shards are dealt and sorted by Spark and streamed through their machines: a task holds one machine and one batch of
     edges, never a shard's edges. Ticks end for all shards up to the tick of the table's last edge, whose start is the one
     number that goes through the driver."""
@@ -152,24 +162,23 @@ def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int]
             yield batch_of(rows, schema)
 
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = edges.select(*COLUMNS).withColumn("start_t", F.col("start_t").cast("long")).withColumn("end_t", F.col("end_t").cast("long"))
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "start_t", "edge_seq").mapInArrow(run, schema)
+    return timed(edges)[0].repartition(parts, "shard").sortWithinPartitions("shard", "start_t", "edge_seq").mapInArrow(run, schema)
 
 
-def replay(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None = None) -> DataFrame:
+def replay(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float], int] | None = None) -> DataFrame:
     """Events of a bounded table of edges with a shard column, each shard in the order of start and edge_seq."""
 
     def take(d: Drive, last: bool) -> list[tuple]:
         out, d.out = d.out, []
         return out
 
-    return _replayed(edges, patterns, tick_of, EVENTS, take)
+    return _replayed(edges, patterns, tick_of, timed(edges)[1], take)
 
 
 DELTAS = "shard string, tick long, advanced array<string>, completed array<string>, negated array<string>, expired array<string>, stalled array<string>, active int"
 
 
-def ticks(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int], stale: int = 10) -> DataFrame:
+def ticks(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float], int], stale: int = 10) -> DataFrame:
     """What each tick of each shard brought: the machine's tick deltas, stalled patterns included."""
 
     def take(d: Drive, last: bool) -> list[tuple]:
@@ -179,7 +188,7 @@ def ticks(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], in
     return _replayed(edges, patterns, tick_of, DELTAS, take, each_tick=lambda x: (x.tick, x.advanced, x.completed, x.negated, x.expired, x.stalled, x.active), stale=stale)
 
 
-def report(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None, schema: str, of: Callable[[Machine], list[tuple]]) -> DataFrame:
+def report(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float], int] | None, schema: str, of: Callable[[Machine], list[tuple]]) -> DataFrame:
     """Rows that a function says of each shard's machine at the end of the table's last tick but one; shard comes first."""
 
     def take(d: Drive, last: bool) -> list[tuple]:
@@ -189,7 +198,7 @@ def report(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], i
     return _replayed(edges, patterns, tick_of, "shard string, " + schema, take)
 
 
-def stream(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], int] | None = None, tick_start: Callable[[int], int] | None = None, horizon: int | None = None) -> DataFrame:
+def stream(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float], int] | None = None, tick_start: Callable[[int], int] | None = None, horizon: float | None = None) -> DataFrame:
     """The same over a streaming DataFrame, append mode: the machine of a shard is its state. In a micro-batch edges are
     sorted by start; what comes later than its time misses matches, as in any incremental evaluation.
 
@@ -211,7 +220,7 @@ def stream(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], i
                 d.add(e)
             d.flush()
             if len(pdf):
-                end = int(pdf["start_t"].iloc[-1])
+                end = pdf["start_t"].iloc[-1].item()
                 machine.evict(end if horizon is None else end - horizon, horizon is not None)
         state.update((pickle.dumps(machine),))
         if tick_start is not None and any(p.deadline is not None or p.inactivity is not None for p in patterns) and machine.active():
@@ -219,7 +228,8 @@ def stream(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[int], i
         yield pd.DataFrame(d.out, columns=NAMES)
 
     columns = [*COLUMNS, "at"] if tick_start is not None else COLUMNS
-    return edges.select(*columns).groupBy("shard").applyInPandasWithState(run, EVENTS, "machine binary", "append", "EventTimeTimeout" if tick_start is not None else "NoTimeout")
+    dealt, events = timed(edges, columns)
+    return dealt.groupBy("shard").applyInPandasWithState(run, events, "machine binary", "append", "EventTimeTimeout" if tick_start is not None else "NoTimeout")
 
 
 def metrics(events: DataFrame) -> DataFrame:
