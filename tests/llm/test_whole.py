@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, lines, mixing, quality, secrets, spotsigs
+from weftline.llm import chat, common, components, jaccard, lines, mixing, quality, secrets, spotsigs
 from weftline.llm.common import cutter, prefix_sums, running_max
 
 
@@ -112,3 +112,38 @@ def test_columns_of_the_mixs_names_are_carried(spark, monkeypatch, broadcast):
     out = mixing.mix_sources(spark, docs, "")
     assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
     assert {tuple(r) for r in quality.keep_good(spark, docs.withColumn("text", F.lit("the word of a text in which all is well and it is for you to read as it was by us at home")), "").drop("text").collect()} == {r[:1] + r[2:] for r in rows}
+
+
+def test_small_tables_are_few_files(spark, hard, monkeypatch):
+    """Every file costs an executor a process: the rounds of a join of few rows are few files, however many partitions there are."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    files, plain = [], common.cut
+
+    def counted(df, name="cut", **how):
+        out = plain(df, name, **how)
+        files.append((name, len(out.inputFiles()), out.count(), getattr(out, "cut_rows", None)))
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    monkeypatch.setattr(jaccard, "cut", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        pairs = spark.createDataFrame([(i, i // 2) for i in range(1, 400)], "a long, b long")
+        assert {(r.node, r.component) for r in components.components(pairs, rows=399).collect()} == {(i, 0) for i in range(400)}
+        assert max(n for _, n, _, _ in files) == 1
+        got = jaccard.keep_first(spark, spark.read.parquet(f"{hard}/documents.parquet"), hard)
+        assert {2, 3, 11, 13}.isdisjoint({r.doc_id for r in got.collect()})
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    small = [x for x in files if x[0] in ("edges", "classes", "active", "groups")]
+    assert len(small) > 5 and all(n == 1 for _, n, _, _ in small)
+    assert all(told in (None, n) for _, _, n, told in files)
+
+
+def test_tables_of_many_rows_keep_their_partitions(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILE_ROWS", 10)
+    df = spark.range(100).repartition(4)
+    assert [len(common.cut(df, rows=n).inputFiles()) for n in (0, 10, 15, 40, 10**15)] == [1, 1, 2, 4, 4]
+    assert common.cut(df.where("id < 0"), count=True).cut_rows == 0
