@@ -161,3 +161,16 @@ def test_significance(spark):
     df = spark.createDataFrame([(["a"], [], [], [], "rising", "plateau", 0.0, 0.0, 0.0, ["main", "side", "else"]), ([], [], [], [], "rising", "plateau", 0.0, 0.0, 0.0, [])], schema)
     got = narrative.narrative_score(narrative.significant_signals(df, {"a": 2.0}, {"main": 5.0, "side": 0.5})).select("filo_violations", "weighted_filo_violations", "total").collect()
     assert [tuple(x) for x in got] == [(3, 6.5, 2.0 - 3 * 6.5), (0, 0.0, 0.0)]
+
+
+def test_gap_analysis_makes_no_pairs_by_time_alone(spark):
+    """The actor is bound only by a later clause: the stage's rows and the matches before must not be paired before it."""
+    rows = [x for i, (kind, who, t) in enumerate([("a", "p", 1), ("a", "q", 4), ("b", "p", 3), ("b", "q", 2), ("b", "r", 9)]) for x in ((f"e{i}", "type", kind, t), (f"e{i}", "who", Node(who), t))]
+    g = TemporalGraph.of(spark, [*rows, ("e2", "size", 5, 3), ("e4", "size", 9, 9), ("e4", "who", Node("q"), 9)], None)
+    b = PatternBuilder("p").stage("x").edge("x", "type", "a").bind("x", "who", "w").done()
+    p = b.stage("y").edge("y", "type", "b").bind("y", "who", "w").where("y", "size", ">", 6).done().stage("z").edge("z", "type", "b").done().build()
+    out = gap.clauses(g, p)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if ("NestedLoop" in x or "Cartesian" in x) and "t__x" in x]
+    got = {(r.stage, r.clause): r.matched for r in out.collect()}
+    assert got == {(0, 0): True, (0, 1): True, (1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False}

@@ -188,17 +188,7 @@ class Compiler:
         outer = set() if acc is None else acc.vars
         rows, waiting, tests = self.stage(s, outer)
         if acc is not None:
-            shared = rows.vars & acc.vars
-            right = rows.df.select(*[F.col(c).alias(f"r__{c}") if c[len(V) :] in shared and c.startswith(V) else F.col(c) for c in rows.df.columns])
-            on = F.lit(True)
-            for name in sorted(shared):
-                a, b = acc.df[V + name], right[f"r__{V}{name}"]
-                # equal structs give the join its keys; the guard is for NaN
-                on = on & (a == b) & F.coalesce(~F.isnan(a["n"]), F.lit(True))
-            for x in earlier:
-                on = on & (acc.df[T + x] < right[T + s.anchor])
-            df = acc.df.join(right, on).drop(*[f"r__{V}{n}" for n in shared])
-            rows = Rows(df, acc.vars | rows.vars, [*acc.anchors, s.anchor])
+            rows = self.pair(acc, rows, earlier)
         for t in tests:
             rows = Rows(rows.df.where(t(rows)), rows.vars, rows.anchors)
         if "root" in rows.df.columns:
@@ -207,6 +197,21 @@ class Compiler:
             rows = self.clause(rows, c)
         return rows
 
+    @staticmethod
+    def pair(acc: Rows, rows: Rows, earlier: list[str]) -> Rows:
+        """Two relations, joined on the variables that both have, the second after some anchors of the first."""
+        shared = rows.vars & acc.vars
+        right = rows.df.select(*[F.col(c).alias(f"r__{c}") if c[len(V) :] in shared and c.startswith(V) else F.col(c) for c in rows.df.columns])
+        on = F.lit(True)
+        for name in sorted(shared):
+            a, b = acc.df[V + name], right[f"r__{V}{name}"]
+            # equal structs give the join its keys; the guard is for NaN
+            on = on & (a == b) & F.coalesce(~F.isnan(a["n"]), F.lit(True))
+        for x in earlier:
+            on = on & (acc.df[T + x] < right[T + rows.anchors[0]])
+        df = acc.df.join(right, on).drop(*[f"r__{V}{n}" for n in shared])
+        return Rows(df, acc.vars | rows.vars, [*acc.anchors, *rows.anchors])
+
     def temporal(self, acc: Rows, pending: list) -> tuple[Rows, list]:
         left = []
         for t in pending:
