@@ -174,3 +174,13 @@ def test_gap_analysis_makes_no_pairs_by_time_alone(spark):
     assert not [x for x in plan.splitlines() if ("NestedLoop" in x or "Cartesian" in x) and "t__x" in x]
     got = {(r.stage, r.clause): r.matched for r in out.collect()}
     assert got == {(0, 0): True, (0, 1): True, (1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False}
+
+
+def test_a_slope_at_the_threshold_is_rounded_as_in_sql(spark):
+    """In decimals the slope is 0.01 exactly; regr_slope makes it 0.010000000000000031, which is rising."""
+    from weftline.operators.narrative import tension
+
+    values = [0.9294, 3.7842000000000002, 0.6662, 3.6952, 1.0238999999999998]
+    got = tension(spark.createDataFrame([("u", 19747 + i, v) for i, v in enumerate(values)], "key string, tick long, value double"), "key", 5).orderBy("tick").collect()
+    assert (got[-1].trajectory, round(got[-1].slope, 12)) == ("rising", 0.01)
+    assert [r.trajectory for r in got[:2]] == ["unknown", "unknown"]

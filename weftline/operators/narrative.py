@@ -21,14 +21,11 @@ def tension(samples: DataFrame, key: str, window: int, threshold: float = THRESH
     w = W.partitionBy(key).orderBy("tick").rowsBetween(-(window - 1), 0)
     rows = samples.withColumn("s", F.collect_list(F.struct("tick", "value")).over(w))
     values = F.transform("s", lambda x: x["value"])
-    ticks = F.transform("s", lambda x: (x["tick"] - F.get("s", F.lit(0))["tick"]).cast("double"))
     n = F.size("s")
     half = F.floor(n / 2).cast("int")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
     mean = lambda xs: F.try_divide(total(xs), F.size(xs))
-    x, y = mean(ticks), mean(values)
-    slope = F.try_divide(total(F.zip_with(ticks, values, lambda a, b: (a - x) * (b - y))), total(F.transform(ticks, lambda a: (a - x) * (a - x))))
-    rows = rows.withColumns({"slope": F.coalesce(slope, F.lit(0.0)), "a": mean(F.slice(values, F.lit(1), half)), "b": mean(F.slice(values, half + 1, n)), "mid": F.get(values, half)})
+    rows = rows.withColumns({"slope": F.coalesce(_slope(F.col("s")), F.lit(0.0)), "a": mean(F.slice(values, F.lit(1), half)), "b": mean(F.slice(values, half + 1, n)), "mid": F.get(values, half)})
     near = F.abs(F.col("a") - F.col("b")) < threshold * 10
     kind = (
         F.when(n < LEAST_WINDOW, "unknown")
@@ -41,6 +38,22 @@ def tension(samples: DataFrame, key: str, window: int, threshold: float = THRESH
     return rows.select(key, "tick", "value", "slope", kind.alias("trajectory"))
 
 
+def _slope(s: Column) -> Column:
+    """The least-squares slope of value by tick, by running means and moments in the order and with the roundings of SQL's
+    regr_slope: a slope at a threshold falls on the same side of it."""
+
+    def step(a: Column, e: Column) -> Column:
+        x, y = e["tick"].cast("double"), e["value"].cast("double")
+        n = a["n"] + 1
+        dx = x - a["x"]
+        my = a["y"] + (y - a["y"]) / n
+        mx = a["x"] + dx / n
+        return F.struct(n.alias("n"), mx.alias("x"), my.alias("y"), (a["xy"] + dx * (y - my)).alias("xy"), (a["xx"] + (x - mx) * dx).alias("xx"))
+
+    start = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xy", "xx")])
+    return F.aggregate(s, start, step, lambda a: F.try_divide(a["xy"] / a["n"], a["xx"] / a["n"]))
+
+
 def _jensen_shannon(p: Column, q: Column) -> Column:
     m = (p + q) / 2
     part = lambda x: F.when(x > 0, 0.5 * x * F.log2(x / m)).otherwise(0.0)
