@@ -275,3 +275,37 @@ def test_plants_without_an_open_run_are_not_stale():
     assert [x["stale"] for x in m.plant_status(3)] == [True]
     m.kill_involving("u")
     assert [(x["stale"], x["active_plants"], x["ticks_since_advance"]) for x in m.plant_status(3)] == [(False, 0, 5)]
+
+
+def test_a_stage_is_asked_once_for_runs_that_hold_the_same():
+    """Runs of one actor take an edge by one look; loop runs that differ in the replaced occurrence have one successor."""
+    one = PatternBuilder("o").stage("e").edge("e", "type", "x").bind("e", "who", "w").done().build()
+    m, looks, who = Machine([repeat_range("r", one, 3, 5, ["w"])]), [], N("p")
+    look = m._stage
+    m._stage = lambda *a: looks.append(a) or look(*a)
+    done = []
+    for t in range(20):
+        for e in (Edge(f"s{t}", "type", "x", t), Edge(f"s{t}", "who", who, t)):
+            m.insert(e)
+        done += [x for x in m.notify(Edge(f"s{t}", "type", "x", t)) if x.kind == "completed"]
+        m.drain_completed()
+    assert len(done) == sum(min(b - a + 1, 5) - 2 for b in range(20) for a in range(b - 1))
+    assert len(looks) <= 2 * 20
+    assert m.stats["fingerprints"] <= 8 * 20 * 19 / 2
+
+
+def test_completions_without_events(spark):
+    """completed() has the completed events of replay(), with equal starts, double edges, a group and a loop."""
+    b = PatternBuilder("g")
+    for i, kind in enumerate("aab"):
+        b = b.stage(f"e{i}").edge(f"e{i}", "type", kind).bind(f"e{i}", "who", "w").done()
+    one = PatternBuilder("o").stage("e").edge("e", "type", "a").bind("e", "who", "w").done().build()
+    patterns = [b.mark_unordered([0, 1]).build(), repeat_range("r", one, 2, 3, ["w"])]
+    kinds = [("a", 1), ("a", 1), ("b", 1), ("a", 2), ("b", 3), ("b", 3), ("a", 4), ("a", 5), ("b", 6)]
+    rows = [(w, 0, f"s{i}", x, r, v, None, None, t, None) for w in "pq" for i, (k, t) in enumerate(kinds) for x, r, v in (("type", 1, k), ("who", 0, w))]
+    rows += [r for r in rows if r[2] == "s5"]
+    edges = spark.createDataFrame([(w, i, *x) for i, (w, _, *x) in enumerate(rows)], "shard string, edge_seq long, source string, label string, rank int, s string, n double, b boolean, start_t long, end_t long")
+    anchors = ["e0", "e1", "e2", "first_e", "last_e"]
+    got = sorted(tuple(r) for r in shards.completed(edges, patterns, anchors).fillna(-1).collect())
+    log = shards.replay(edges, patterns).where("kind = 'completed'").collect()
+    assert got == sorted((r.shard, r.pattern, r.reps, *[r.starts.get(a, -1) for a in anchors]) for r in log) and got

@@ -60,18 +60,18 @@ NO_ERROR = "NOT EXISTS (SELECT 1 FROM e n WHERE n.u = a.u AND n.y = 'error' AND
 THREE = ["e1", "e2", "e3"]
 
 
-def spans(df: DataFrame, *anchors: str) -> DataFrame:
-    return df.select(F.col("shard").alias("actor"), *[F.col("starts")[a].alias(a) for a in anchors])
+def spans(spark: SparkSession, d: str, patterns: list[Pattern], *anchors: str) -> DataFrame:
+    return shards.completed(edges(spark, d), patterns, list(anchors)).select(F.col("shard").alias("actor"), *anchors)
 
 
 @query("inc_completed", f"WITH {E} SELECT a.u AS actor, a.t AS e1, b.t AS e2, c.t AS e3 {CHAIN_SQL} AND {NO_ERROR.format('c')}")
 def _(spark, d):
-    return spans(log([GUARDED])(spark, d).where("kind = 'completed'"), *THREE)
+    return spans(spark, d, [GUARDED], *THREE)
 
 
 @query("inc_completed_unless_after", f"WITH {E} SELECT a.u AS actor, a.t AS e1, b.t AS e2 FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'purchase' AND a.t < b.t AND {NO_ERROR.format('b')}")
 def _(spark, d):
-    return spans(log([AFTER])(spark, d).where("kind = 'completed'"), "e1", "e2")
+    return spans(spark, d, [AFTER], "e1", "e2")
 
 
 @query("inc_advanced_counts", f"WITH {E} SELECT stage_index, count(*) AS n FROM (SELECT 0 AS stage_index FROM e WHERE y = 'signup' UNION ALL SELECT 1 FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'view' AND a.t < b.t AND {NO_ERROR.format('b')}) GROUP BY 1")
@@ -108,8 +108,8 @@ def _repeat(least: int, most: int | None) -> Pattern:
 SELECT u AS actor, first_e, last_e, k::BIGINT AS reps FROM (SELECT *, unnest(range(3, least(m, 5) + 1)) AS k FROM p WHERE m >= 3)""",
 )
 def _(spark, d):
-    out = log([_repeat(3, 5)])(spark, d).where("kind = 'completed'")
-    return out.select(F.col("shard").alias("actor"), F.col("starts")["first_e"].alias("first_e"), F.col("starts")["last_e"].alias("last_e"), F.col("reps").cast("bigint").alias("reps"))
+    out = shards.completed(edges(spark, d), [_repeat(3, 5)], ["first_e", "last_e"])
+    return out.select(F.col("shard").alias("actor"), "first_e", "last_e", F.col("reps").cast("bigint").alias("reps"))
 
 
 @query("inc_tick_delta", f"WITH {E}, c AS (SELECT b.t // {DAY} AS tick, 'pair' AS p FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'purchase' AND a.t < b.t UNION SELECT t // {DAY}, 'solo' FROM e WHERE y = 'view'), x AS (SELECT DISTINCT t // {DAY} AS tick FROM e WHERE y = 'signup') SELECT tick, coalesce(string_agg(p, ',' ORDER BY p), '') AS completed, bool_or(x.tick IS NOT NULL) AS advanced FROM c FULL JOIN x USING (tick) GROUP BY tick")
@@ -130,13 +130,13 @@ def _(spark, d):
 
 @query("inc_advance_in_place", f"WITH {E} SELECT a.u AS actor, a.t AS e1, min(b.t) AS e2 FROM e a JOIN e b ON a.u = b.u WHERE a.y = 'signup' AND b.y = 'purchase' AND a.t < b.t GROUP BY a.u, a.t")
 def _(spark, d):
-    return spans(log([replace(PAIR, advance_in_place=True)])(spark, d).where("kind = 'completed'"), "e1", "e2")
+    return spans(spark, d, [replace(PAIR, advance_in_place=True)], "e1", "e2")
 
 
 @query("inc_concurrent_group", f"WITH {E} SELECT a.u AS actor, a.t AS e1, b.t AS e2, c.t AS e3 FROM e a JOIN e b ON a.u = b.u JOIN e c ON a.u = c.u WHERE a.y = 'signup' AND b.y = 'view' AND c.y = 'purchase' AND a.t < c.t AND b.t < c.t")
 def _(spark, d):
     p = chain("c", "signup", "view", "purchase").mark_unordered([0, 1]).build()
-    return spans(log([p])(spark, d).where("kind = 'completed'"), *THREE)
+    return spans(spark, d, [p], *THREE)
 
 
 @query(
@@ -152,7 +152,7 @@ SELECT u AS actor, unnest(done) AS e1, t AS e2 FROM w WHERE len(done) > 0""",
 def _(spark, d):
     """Pairs of one exclusive group: a completion ends what is open in the group."""
     ps = choice("either", [chain("bought", "signup", "purchase").build(), chain("looked", "view", "click").build()])
-    return spans(log(ps)(spark, d).where("kind = 'completed'"), "e1", "e2")
+    return spans(spark, d, ps, "e1", "e2")
 
 
 @query("inc_stale", f"WITH {E}, l AS (SELECT max(t // {DAY}) AS last FROM e), x AS (SELECT u, max(t // {DAY}) AS moved FROM e WHERE y = 'signup' GROUP BY u) SELECT u AS actor, 'pair' AS pattern FROM x, l WHERE last - moved >= 2")
@@ -197,7 +197,7 @@ def _(spark, d):
     from .batch import find
 
     batch = find(event_graph(spark, d), PAIR).select(F.col("actor.s").alias("actor"), F.col("e1__start").alias("e1"), F.col("e2__start").alias("e2"))
-    inc = spans(log([PAIR])(spark, d).where("kind = 'completed'"), "e1", "e2")
+    inc = spans(spark, d, [PAIR], "e1", "e2")
     both = batch.withColumn("w", F.lit("b")).unionByName(inc.withColumn("w", F.lit("i"))).groupBy("actor", "e1", "e2").agg(F.count(F.when(F.col("w") == "b", 1)).alias("b"), F.count(F.when(F.col("w") == "i", 1)).alias("i"))
     return both.agg(F.sum("b").alias("batch"), F.sum("i").alias("incremental"), F.count(F.when(F.col("b") != F.col("i"), 1)).alias("apart"))
 

@@ -67,12 +67,42 @@ class Run:
     state: str = "active"
 
     known: tuple | None = None
+    held: tuple | None = None
+    turn: tuple | None = None
+    late: Time | None = None
+    #: Where its steps are found, by the identity of the values that it holds; not for another process.
+    at: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"at": None}
+
+    def base(self, anchor: str) -> tuple:
+        """What a run's successors by one edge at one stage differ in; made once, as a run waits for one stage (groups aside)."""
+        if self.held is None:
+            self.held = (self.pattern, self.next, self.reps, self.mask, self._bound(), frozenset(x for x in self.spans.items() if x[0] != anchor))
+        return self.held
+
+    def turned(self, anchor: str, own: frozenset[str]) -> tuple:
+        """The same for the next turn of a loop, which forgets the loop's own variables."""
+        if self.turn is None:
+            base = self.base(anchor)
+            self.turn = (*base[:4], frozenset(x for x in base[4] if x[0] not in own), base[5])
+        return self.turn
+
+    def latest(self) -> Time:
+        """The last start that the run holds."""
+        if self.late is None:
+            starts = [x[0] for x in self.spans.values()]
+            self.late = max(starts) if all(x == x for x in starts) else float("nan")
+        return self.late
+
+    def _bound(self) -> frozenset:
+        return frozenset((k, v.__class__, v if v == v else "nan") for k, v in self.bindings.items())
 
     def key(self) -> tuple:
         """What makes two runs equal; made once, as a stored run doesn't change."""
         if self.known is None:
-            held = frozenset((k, v.__class__, v if v == v else "nan") for k, v in self.bindings.items())
-            self.known = (self.pattern, self.next, self.reps, self.mask, held, frozenset(self.spans.items()))
+            self.known = (self.pattern, self.next, self.reps, self.mask, self._bound(), frozenset(self.spans.items()))
         return self.known
 
 
@@ -130,6 +160,25 @@ def triggers(e: Edge) -> tuple:
     return ((e.label,), (e.label, type(e.value), e.value)) if isinstance(e.value, (str, bool)) else ((e.label,),)
 
 
+def reads(s: Stage) -> tuple[str, ...] | None:
+    """The variables of a run that decide what an edge adds to it at a stage; None if an evaluator sees them all."""
+    if s.lets:
+        return None
+    return tuple(sorted({c.source for c in s.clauses}.union(*[target_vars(c.target) for c in s.clauses])))
+
+
+@dataclass
+class Step:
+    """What an edge adds to all runs that hold the same of what a stage reads, and two tokens of it: with everything, and
+    with what a turn of the loop keeps. Equal steps have equal tokens until completed runs are drained."""
+
+    new: dict[str, Literal]
+    whole: int
+    kept: int
+    #: Whether runs go to the sink together.
+    sinks: bool = False
+
+
 class Machine:
     def __init__(self, patterns: Iterable[Pattern] = (), now: Time | None = None, evaluator: LetEvaluator = evaluate_let) -> None:
         self.evaluator = evaluator
@@ -152,6 +201,14 @@ class Machine:
         self.starts: dict[str, set[int]] = {}
         self.ends: dict[str, set[int]] = {}
         self.pairs: list[tuple[str, str, str, str | None]] = []
+        self.reads: list[list[tuple[str, ...] | None]] = []
+        self.own: list[frozenset[str]] = []
+        self.tokens: dict[tuple, int] = {}
+        self.next_token = 0
+        #: Takes completions in place of events and runs: (pattern, the runs before the last stage, its anchor, its edge, reps).
+        self.sink: Callable[[Pattern, list[Run], str, Edge, int], None] | None = None
+        self.sent: dict[int, list[int]] = {}
+        self.sunk: list[tuple] = []
         for p in patterns:
             self.register(p)
 
@@ -164,6 +221,8 @@ class Machine:
         self.groups.append([tuple(p.group_of(k) or ()) for k in range(len(p.stages))])
         self.asks.append([trigger(x.clauses[0]) if x.clauses else () for x in p.stages])
         self.metadata.append(dict(p.metadata))
+        self.reads.append([reads(s) for s in p.stages])
+        self.own.append(frozenset(self._loop_names(p)))
         for stage in p.group_of(0) or (0,):
             if p.stages and p.stages[stage].clauses:
                 self.starts.setdefault(trigger(p.stages[stage].clauses[0]), set()).add(i)
@@ -174,6 +233,15 @@ class Machine:
         self.named[p.name] = (private or p.private, [*own, self.metrics[-1]])
         return i
 
+    @staticmethod
+    def _loop_names(p: Pattern) -> set[str]:
+        """The variables that a turn of the loop binds anew."""
+        if p.loop is None:
+            return set()
+        own = p.stages[p.loop.first : p.loop.last + 1]
+        names = {s.anchor for s in own} | {n for s in own for n, _ in s.lets} | {c.source for s in own for c in s.clauses} | {v for s in own for c in s.clauses if isinstance(c.target, Bind) for v in target_vars(c.target)}
+        return names - set(p.loop.shared)
+
     def _index(self, r: Run, on: bool) -> None:
         """Puts an active run where the edges that can advance or end it are looked for, or takes it away."""
         asks, groups = self.asks[r.pattern], self.groups[r.pattern]
@@ -224,6 +292,9 @@ class Machine:
         for r in done:
             self.runs.pop(r.id)
             self.keys.discard(r.key())
+        self.keys.difference_update(self.sunk)
+        self.sunk.clear()
+        self.sent.clear()
         return [r for r in done if not self.patterns[r.pattern].private]
 
     def evict(self, before: Time, idle: bool = False) -> int:
@@ -241,6 +312,8 @@ class Machine:
                 self.store[key] = left
             else:
                 del self.store[key]
+        asked = {k[1] for k in self.keys if len(k) == 2}
+        self.tokens = {x: n for x, n in self.tokens.items() if n in asked}
         return gone
 
     def kill_involving(self, node: str) -> int:
@@ -252,7 +325,7 @@ class Machine:
             "patterns": list(self.patterns), "enabled": list(self.enabled), "metrics": [replace(m) for m in self.metrics], "store": {k: list(v) for k, v in self.store.items()},
             "runs": {i: replace(r, bindings=dict(r.bindings), spans=dict(r.spans)) for i, r in self.runs.items()}, "keys": set(self.keys), "stats": dict(self.stats), "log": [],
             "starts": {k: set(v) for k, v in self.starts.items()}, "ends": {k: set(v) for k, v in self.ends.items()}, "pairs": list(self.pairs), "waiting": {}, "of_pattern": {}, "done": {}, "named": {},
-            "groups": list(self.groups), "asks": list(self.asks), "metadata": list(self.metadata),
+            "reads": list(self.reads), "own": list(self.own), "tokens": dict(self.tokens), "sink": None, "sent": {k: list(v) for k, v in self.sent.items()}, "sunk": list(self.sunk), "groups": list(self.groups), "asks": list(self.asks), "metadata": list(self.metadata),
         }
         for p, m in zip(other.patterns, other.metrics, strict=True):
             private, own = other.named.get(p.name, (False, []))
@@ -384,6 +457,10 @@ class Machine:
         self.stats["edges"] += 1
         events: list[Event] = []
         where = triggers(e)
+        if not any(x in self.starts or x in self.ends or self.waiting.get(x) for x in where):
+            self.stats["peak_active"] = max(self.stats["peak_active"], len(self.runs) - len(self.done))
+            return events
+        steps: dict[tuple, Any] = {}
         ends = sorted(set().union(*[self.ends.get(x, ()) for x in where])) if self.ends else ()
         killed = []
         for r in sorted((r for i in ends for r in self._active_of(i)), key=lambda r: r.id):
@@ -394,7 +471,8 @@ class Machine:
                 events.append(Event("negated", self.patterns[r.pattern].name, r.id, clause_label=label, trigger_source=e.source, stage_reached=r.next, metadata=dict(self.patterns[r.pattern].metadata), spans=dict(r.spans)))
         fresh: list[Run] = []
         used: set[int] = set()
-        live = {r.id: r for x in where for r in self.waiting.get(x, {}).values()}
+        places = [own for x in where if (own := self.waiting.get(x))]
+        live = list(places[0].values()) if len(places) == 1 else sorted({r.id: r for own in places for r in own.values()}.values(), key=lambda r: r.id)
         for i in sorted(set().union(*[self.starts.get(x, ()) for x in where])):
             p = self.patterns[i]
             if not self.enabled[i]:
@@ -403,15 +481,44 @@ class Machine:
             for stage in first:
                 if (new := self._stage(p.stages[stage], e, {})) is not None:
                     events += self._push(p, Run(i, {}, {}, first[0], -1, self.tick, self.tick), stage, new, e, fresh, used)
-        for _, r in sorted(live.items()):  # oldest first
-            p = self.patterns[r.pattern]
-            if r.state != "active" or not self.enabled[r.pattern]:
+        tried: set[tuple] = set()
+        sent: dict[tuple, list[Run]] = {}
+        for r in live:  # oldest first
+            i = r.pattern
+            if r.state != "active" or not self.enabled[i]:
+                continue
+            p, group = self.patterns[i], self.groups[i][r.next]
+            if not group and self.reads[i][r.next] is not None:
+                if not (r.latest() if r.late is None else r.late) < e.start:
+                    continue
+                at = r.at or self._place(r, r.next)
+                step = steps.get(at, False)
+                if step is False:
+                    step = steps[at] = self._step(p, r, e)
+                if step is None:
+                    continue
+                if step.sinks:
+                    sent.setdefault(at, []).append(r)
+                    continue
+                if p.loop is not None:
+                    # runs that differ in what this stage replaces have the same successors
+                    if (base := r.held or r.base(p.stages[r.next].anchor)) in tried:
+                        continue
+                    tried.add(base)
+                events += self._advance(p, r, step, e, fresh, used)
                 continue
-            for stage in [s for s in self.groups[r.pattern][r.next] if not r.mask >> s & 1] or (r.next,):
+            for stage in [s for s in group if not r.mask >> s & 1] or (r.next,):
                 if not self._ordered(p, r.spans, stage, e):
                     continue
-                if (new := self._stage(p.stages[stage], e, r.bindings)) is not None:
+                if self.reads[i][stage] is None:
+                    new = self._stage(p.stages[stage], e, r.bindings)
+                else:
+                    at = self._place(r, stage)
+                    new = steps[at] if at in steps else steps.setdefault(at, self._stage(p.stages[stage], e, r.bindings))
+                if new is not None:
                     events += self._push(p, r, stage, new, e, fresh, used)
+        for at, runs in sent.items():
+            self._send(runs, steps[at], e)
         self._remove(self.runs[i] for i in used if i in self.runs)
         for r in fresh:
             self.runs[r.id] = r
@@ -440,6 +547,97 @@ class Machine:
         fresh.append(r)
         return True
 
+    def _token(self, x: tuple) -> int:
+        if x not in self.tokens:
+            self.tokens[x] = self.next_token
+            self.next_token += 1
+        return self.tokens[x]
+
+    def _step(self, p: Pattern, r: Run, e: Edge) -> Step | None:
+        new = self._stage(p.stages[r.next], e, r.bindings)
+        if new is None:
+            return None
+        bound = lambda names: frozenset((k, v.__class__, v if v == v else "nan") for k, v in names.items())
+        kept = {k: v for k, v in new.items() if k not in self.own[r.pattern]} if p.loop else new
+        at = (r.pattern, r.next, e.start, e.end)
+        anchor = p.stages[r.next].anchor
+        sinks = self.sink is not None and r.next + 1 >= len(p.stages) and not p.loop and not p.temporal and not p.advance_in_place and p.group is None and anchor not in r.bindings and anchor not in r.spans
+        return Step(new, self._token((True, *at, bound(new))), self._token((False, *at, bound(kept))) if p.loop else -1, sinks)
+
+    def _place(self, r: Run, stage: int) -> tuple:
+        at = (r.pattern, stage, *[id(r.bindings.get(x)) for x in self.reads[r.pattern][stage]])
+        if not self.groups[r.pattern][stage]:
+            r.at = at
+        return at
+
+    def _send(self, runs: list[Run], step: Step, e: Edge) -> None:
+        """Completions of runs by one step. Runs differ, so that equal completions come from one run and equal steps alone."""
+        p = self.patterns[runs[0].pattern]
+        before = self.sent.setdefault(step.whole, [])
+        if before:
+            known = set(before)
+            runs = [r for r in runs if r.id not in known]
+        before += [r.id for r in runs]
+        self._sink(p, runs, p.stages[-1].anchor, e, 0)
+
+    def _sink(self, p: Pattern, runs: list[Run], anchor: str, e: Edge, reps: int) -> None:
+        if not runs:
+            return
+        self.next_id += len(runs)
+        private, metrics = self.named[p.name]
+        metrics[-1].completed += len(runs)
+        metrics[-1].last_advanced = self.tick
+        if not private:
+            self.sink(p, runs, anchor, e, reps)
+
+    def _advance(self, p: Pattern, r: Run, step: Step, e: Edge, fresh: list[Run], used: set[int]) -> list[Event]:
+        """_push for a run that was there, at a stage outside of groups: an equal successor is found before it is made, and
+        what goes to the sink is not made at all."""
+        stage = p.stages[r.next]
+        anchor = stage.anchor
+        end = r.next + 1 >= len(p.stages)
+        if anchor in r.bindings or (anchor in r.spans and not (p.loop and p.loop.first <= r.next)):
+            return self._push(p, r, r.next, step.new, e, fresh, used)
+        loop = p.loop if end else None
+        reps = (r.reps + (1 if r.reps else 2)) if loop else r.reps
+        base = r.base(anchor)
+        out: list[Event] = []
+        spans = None
+        if not loop or reps >= loop.least:
+            self.stats["fingerprints"] += 1
+            key = (base, step.whole)
+            if key not in self.keys:
+                if p.temporal and end:
+                    spans = r.spans | {anchor: (e.start, e.end)}
+                if spans is None or self._relations(p, spans):
+                    self.keys.add(key)
+                    if end and self.sink is not None and p.group is None:
+                        self.sunk.append(key)
+                        self._sink(p, [r], anchor, e, reps)
+                    else:
+                        spans = r.spans | {anchor: (e.start, e.end)} if spans is None else spans
+                        bindings = r.bindings | step.new
+                        done = Run(r.pattern, bindings, spans, r.next + 1, self.next_id, r.created, self.tick, reps, r.mask, "complete" if end else "active", key)
+                        self.next_id += 1
+                        fresh.append(done)
+                        out.append(Event("completed" if end else "advanced", p.name, done.id, r.next, dict(bindings) if end else {}, metadata=self.metadata[r.pattern], spans=dict(spans), reps=reps if loop else 0))
+                    if p.advance_in_place:
+                        used.add(r.id)
+                elif not loop:
+                    self.next_id += 1
+        if loop and (loop.most is None or reps < loop.most):
+            self.stats["fingerprints"] += 1
+            key = (r.turned(anchor, self.own[r.pattern]), step.kept)
+            if key not in self.keys:
+                self.keys.add(key)
+                spans = r.spans | {anchor: (e.start, e.end)}
+                own = self.own[r.pattern]
+                again = Run(r.pattern, {k: v for k, v in (r.bindings | step.new).items() if k not in own}, spans, loop.first, self.next_id, r.created, self.tick, reps, 0, "active", key)
+                self.next_id += 1
+                fresh.append(again)
+                out.append(Event("advanced", p.name, again.id, r.next, metadata=self.metadata[r.pattern], spans=dict(spans), reps=reps))
+        return out
+
     def _push(self, p: Pattern, r: Run, stage: int, new: dict, e: Edge, fresh: list[Run], used: set[int]) -> list[Event]:
         """The run with a stage more: a completion, a partial match, or a turn of the loop."""
         born = r.id < 0
@@ -459,9 +657,7 @@ class Machine:
                 if p.advance_in_place:
                     used.add(r.id)
             if p.loop.most is None or reps < p.loop.most:
-                own = p.stages[p.loop.first : p.loop.last + 1]
-                names = {s.anchor for s in own} | {n for s in own for n, _ in s.lets} | {c.source for s in own for c in s.clauses} | {v for s in own for c in s.clauses if isinstance(c.target, Bind) for v in target_vars(c.target)}
-                again = replace(grown, bindings={k: v for k, v in bindings.items() if k not in names or k in p.loop.shared}, next=p.loop.first, mask=0, reps=reps, state="active", known=None)
+                again = replace(grown, bindings={k: v for k, v in bindings.items() if k not in self.own[r.pattern]}, next=p.loop.first, mask=0, reps=reps, state="active", known=None)
                 if self._keep(again, fresh):
                     out.append(Event("advanced", p.name, again.id, stage, metadata=meta, spans=dict(spans), reps=reps))
             return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import Literal, Node
 from ..plans.pattern import Bind, Pattern
-from .machine import Edge, Event, Machine, TickDelta
+from .machine import Edge, Event, Machine, Run, TickDelta
 
 EVENTS = "shard string, kind string, pattern string, match_id long, stage_index int, bindings map<string,string>, clause_label string, trigger_source string, stage_reached int, ticks_elapsed int, starts map<string,bigint>, reps int, tick long, at long"
 FRACTIONAL = ("float", "double", "decimal")
@@ -73,19 +73,27 @@ ROWS = 5000
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
-    plain = lambda v, t: list(v.items()) if isinstance(v, dict) and pa.types.is_map(t) else v
+    plain = lambda c, t: [list(v.items()) if isinstance(v, dict) else v for v in c] if pa.types.is_map(t) else c
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array([plain(v, TYPES[kind]) for v in c], TYPES[kind]) for (_, kind), c in zip(fields, columns, strict=True)], names=[n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(plain(c, TYPES[kind]), TYPES[kind]) for (_, kind), c in zip(fields, columns, strict=True)], names=[n for n, _ in fields])
 
 
 class Drive:
     """Feeds a machine edges by start time, and ends the ticks that lie before them."""
 
-    def __init__(self, machine: Machine, shard: str, tick_of: Callable[[float], int] | None = None, each_tick: Callable[[TickDelta], tuple] | None = None, stale: int = 10) -> None:
-        self.machine, self.shard, self.tick_of, self.each_tick, self.stale = machine, shard, tick_of, each_tick, stale
+    def __init__(self, machine: Machine, shard: str, tick_of: Callable[[float], int] | None = None, each_tick: Callable[[TickDelta], tuple] | None = None, stale: int = 10, anchors: list[str] | None = None) -> None:
+        self.machine, self.shard, self.tick_of, self.each_tick, self.stale, self.anchors = machine, shard, tick_of, each_tick, stale, anchors
         self.group: list[Edge] = []
         self.out: list[tuple] = []
         self.deltas: list[tuple] = []
+        if anchors is not None:
+            machine.sink = self.sink
+
+    def sink(self, p: Pattern, runs: list[Run], anchor: str, e: Edge, reps: int) -> None:
+        """Completions by the starts of their anchors."""
+        n = len(runs)
+        starts = [[e.start] * n if a == anchor else [r.spans[a][0] for r in runs] if a in runs[0].spans else [None] * n for a in self.anchors]
+        self.out.extend(zip([self.shard] * n, [p.name] * n, [reps] * n, *starts, strict=True))
 
     def add(self, e: Edge) -> None:
         if self.group and e.start != self.group[0].start:
@@ -114,7 +122,11 @@ class Drive:
             if not m.stats["edges"]:
                 m.tick = now
             self.to(now)
-        self.out.extend(_row(self.shard, x, m.tick, group[0].start) for x in m.feed(group))
+        told = m.feed(group)
+        if self.anchors is None:
+            self.out.extend(_row(self.shard, x, m.tick, group[0].start) for x in told)
+        else:
+            self.out.extend((self.shard, x.pattern, x.reps, *[x.spans[a][0] if a in x.spans else None for a in self.anchors]) for x in told if x.kind == "completed")
         m.drain_completed()
         if self.tick_of is None:
             m.log = []  # only ticks ask for it
@@ -122,8 +134,15 @@ class Drive:
 
 
 def _edges(batch: pa.RecordBatch) -> Iterator[tuple[str, Edge]]:
+    known: dict[tuple, Literal] = {}  # equal values are one object, by which the machine sees that they are equal
     for shard, source, label, rank, s, n, b, start, end in zip(*(batch.column(c).to_pylist() for c in ("shard", "source", "label", "rank", "s", "n", "b", "start_t", "end_t")), strict=True):
-        yield shard, Edge(source, label, _value(rank, s, n, b), start, end)
+        if rank < 2:
+            value = known.get((rank, s))
+            if value is None:
+                value = known[rank, s] = _value(rank, s, n, b)
+        else:
+            value = _value(rank, s, n, b)
+        yield shard, Edge(source, label, value, start, end)
 
 
 def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float], int] | None, schema: str, take: Callable[[Drive, bool], list[tuple]], **how: Any) -> DataFrame:
@@ -145,6 +164,7 @@ def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[floa
             d.flush()
             if last is not None:
                 d.to(last)
+            d.machine.sink = None  # else the machine and its drive wait for the collector
             return take(d, True)
 
         for batch in batches:
@@ -175,6 +195,19 @@ def replay(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float],
     return _replayed(edges, patterns, tick_of, timed(edges)[1], take)
 
 
+def completed(edges: DataFrame, patterns: list[Pattern], anchors: list[str]) -> DataFrame:
+    """The completed events of replay alone: shard, pattern, reps, and the start of each anchor. What they are not asked for
+    (bindings, and runs that nothing can follow) isn't made."""
+
+    def take(d: Drive, last: bool) -> list[tuple]:
+        out, d.out = d.out, []
+        return out
+
+    kind = "double" if "double" in timed(edges)[1] else "long"
+    schema = ", ".join(["shard string", "pattern string", "reps int", *[f"{a} {kind}" for a in anchors]])
+    return _replayed(edges, patterns, None, schema, take, anchors=anchors)
+
+
 DELTAS = "shard string, tick long, advanced array<string>, completed array<string>, negated array<string>, expired array<string>, stalled array<string>, active int"
 
 
