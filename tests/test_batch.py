@@ -226,3 +226,23 @@ def test_window_without_end_is_decided_by_the_latest(spark):
     anyone = p.unless_after("a").edge("x", "eventType", "out").done().build()
     assert sorted(r.a.s for r in find(graph(spark, rows), anyone).collect()) == ["a2"]
     assert find(graph(spark, event("a1", "in", 1)), anyone).count() == 1
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_negation_that_compares_with_the_match(spark, wide):
+    """The compared value is a residual of one anti-join: blocked rows are not made and taken away. Any edge of the body's source may block."""
+    from weftline.plans.pattern import Constraint
+
+    rows = [("s1", "a", 3.0, 1), ("s2", "a", 7.0, 2), ("n1", "n", 5.0, 3), ("p1", "b", 0.0, 4), ("n2", "n", 9.0, 9)]
+    if wide:
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, source string, kind string, value double, t long")
+        g = TemporalGraph(spark, None, None, (Relation(df, F.col("source"), {"kind": (1, F.col("kind")), "value": (2, F.col("value"))}, F.col("t"), None, F.col("id")),))
+    else:
+        g = TemporalGraph.of(spark, [x for s, k, v, t in rows for x in ((s, "kind", k, t), (s, "value", v, t))] + [("n1", "value", 1, 3)], None)
+    b = PatternBuilder("p").stage("x").edge("x", "kind", "a").bind("x", "value", "v").done().stage("y").edge("y", "kind", "b").done()
+    n = b.unless_between("x", "y").edge("n", "kind", "n")
+    n._add("n", "value", Constraint(">?", var="v"))
+    out = find(g, n.done().build())
+    assert [r.x.s for r in out.collect()] == ["s2"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "LeftSemi" not in plan

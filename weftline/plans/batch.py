@@ -245,12 +245,33 @@ class Compiler:
             return rows, waiting, tests
         return self.stage(Stage("n", n.clauses), set(), always=True)
 
+    def compared(self, n: Negation, body: Rows, waiting: list[Clause]) -> tuple[Rows, list[tuple[str, Constraint]]]:
+        """A negation's body with the values that clauses compare with the match's variables: columns by name, and how."""
+        names = [f"c{i}" for i in range(len(waiting))]
+        own = [c for c in n.clauses if c not in waiting]
+        r = self.graph.relation_for({c.label for c in n.clauses})
+        if r is not None and all(c.source == own[0].source for c in n.clauses):
+            rows, left, tests = self.stage(Stage("n", (*own, *[Clause(c.source, c.label, Bind(f"?{x}")) for c, x in zip(waiting, names, strict=True)])), set(), always=True)
+            if not left and not tests:
+                df = rows.df.where(self.seen(F.col(T + "n"), F.col(E + "n")))
+                return Rows(df.withColumnsRenamed({f"{V}?{x}": x for x in names}), body.vars, rows.anchors), [(x, c.target) for c, x in zip(waiting, names, strict=True)]
+        df = body.df
+        for c, x in zip(waiting, names, strict=True):
+            e = self.label_edges(c.label, c.target).select(F.col("source").alias("c__source"), Parts.edge().struct().alias(x))
+            df = df.join(e, TemporalGraph.value_as_node(df[V + c.source]) == F.col("c__source")).drop("c__source")
+        return Rows(df, body.vars, body.anchors), [(x, c.target) for c, x in zip(waiting, names, strict=True)]
+
     def negate(self, acc: Rows, n: Negation) -> Rows:
         """Without the rows in whose window the body occurs. Variables that both have are the anti-join's keys."""
         body, waiting, tests = self.body(n, acc.vars)
+        against: list[tuple[str, Constraint]] = []
+        if waiting and all(isinstance(c.target, Constraint) and c.target.var in acc.vars and c.target.var not in body.vars and c.source in body.vars for c in waiting):
+            # what the match's variables are compared with is a column of the body, and the comparison a residual of the anti-join
+            body, against = self.compared(n, body, waiting)
+            waiting = []
         shared = body.vars & acc.vars
         right = body.df.select(*[F.col(c).alias(f"n__{c}") for c in body.df.columns])
-        if n.end is None and not waiting and not tests:
+        if n.end is None and not waiting and not tests and not against:
             # a window without an end: the latest occurrence of a key decides, and it is found before the shuffle
             right = right.groupBy(*[f"n__{V}{name}" for name in sorted(shared)]).agg(F.max(f"n__{T}n").alias(f"n__{T}n"))
 
@@ -265,6 +286,8 @@ class Compiler:
             if tests:
                 of = lambda name: left[V + name] if name in acc.vars else right[f"n__{V}{name}"] if name in body.vars else None
                 on = on & matches(n.clauses[0].target, Parts.of(right["n__root"]), of)
+            for name, target in against:
+                on = on & matches(target, Parts.of(right[f"n__{name}"]), lambda x: left[V + x])
             return on
 
         if not waiting:
