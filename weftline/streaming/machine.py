@@ -491,7 +491,7 @@ class Machine:
             if not group and self.reads[i][r.next] is not None:
                 if not (r.latest() if r.late is None else r.late) < e.start:
                     continue
-                at = r.at or self._place(r, r.next)
+                at = r.at if r.at is not None else self._place(r, r.next)
                 step = steps.get(at, False)
                 if step is False:
                     step = steps[at] = self._step(p, r, e)
@@ -508,12 +508,12 @@ class Machine:
                 events += self._advance(p, r, step, e, fresh, used)
                 continue
             for stage in [s for s in group if not r.mask >> s & 1] or (r.next,):
-                if not self._ordered(p, r.spans, stage, e):
+                if not ((r.latest() if r.late is None else r.late) < e.start or self._ordered(p, r.spans, stage, e)):
                     continue
                 if self.reads[i][stage] is None:
                     new = self._stage(p.stages[stage], e, r.bindings)
                 else:
-                    at = self._place(r, stage)
+                    at = r.at if r.at is not None and r.at[1] == stage else self._place(r, stage)
                     new = steps[at] if at in steps else steps.setdefault(at, self._stage(p.stages[stage], e, r.bindings))
                 if new is not None:
                     events += self._push(p, r, stage, new, e, fresh, used)
@@ -565,10 +565,8 @@ class Machine:
         return Step(new, self._token((True, *at, bound(new))), self._token((False, *at, bound(kept))) if p.loop else -1, sinks)
 
     def _place(self, r: Run, stage: int) -> tuple:
-        at = (r.pattern, stage, *[id(r.bindings.get(x)) for x in self.reads[r.pattern][stage]])
-        if not self.groups[r.pattern][stage]:
-            r.at = at
-        return at
+        r.at = (r.pattern, stage, *[id(r.bindings.get(x)) for x in self.reads[r.pattern][stage]])
+        return r.at
 
     def _send(self, runs: list[Run], step: Step, e: Edge) -> None:
         """Completions of runs by one step. Runs differ, so that equal completions come from one run and equal steps alone."""

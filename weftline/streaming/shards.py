@@ -8,6 +8,7 @@ a fractional type."""
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import Literal, Node
-from ..plans.pattern import Bind, Pattern
+from ..functions.values import Literal, Node, Parts
+from ..plans.pattern import Bind, Pattern, target_vars
+from ..sources.predicates import matches
 from .machine import Edge, Event, Machine, Run, TickDelta
 
 EVENTS = "shard string, kind string, pattern string, match_id long, stage_index int, bindings map<string,string>, clause_label string, trigger_source string, stage_reached int, ticks_elapsed int, starts map<string,bigint>, reps int, tick long, at long"
@@ -167,19 +169,25 @@ def _replayed(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[floa
             d.machine.sink = None  # else the machine and its drive wait for the collector
             return take(d, True)
 
-        for batch in batches:
-            for shard, e in _edges(batch):
-                if d is None or shard != d.shard:
-                    rows += end()
-                    d = Drive(blank.copy(), shard, tick_of, **how)
-                d.add(e)
-                if len(d.out) >= ROWS or len(rows) >= ROWS:
-                    rows += take(d, False)
-                    yield batch_of(rows, schema)
-                    rows = []
-        rows += end()
-        if rows:
-            yield batch_of(rows, schema)
+        # runs and rows hold no cycles: looking for some after every few thousand of them is a fifth of the time
+        least = gc.get_threshold()
+        gc.set_threshold(max(100_000, least[0]), *least[1:])
+        try:
+            for batch in batches:
+                for shard, e in _edges(batch):
+                    if d is None or shard != d.shard:
+                        rows += end()
+                        d = Drive(blank.copy(), shard, tick_of, **how)
+                    d.add(e)
+                    if len(d.out) >= ROWS or len(rows) >= ROWS:
+                        rows += take(d, False)
+                        yield batch_of(rows, schema)
+                        rows = []
+            rows += end()
+            if rows:
+                yield batch_of(rows, schema)
+        finally:
+            gc.set_threshold(*least)
 
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return timed(edges)[0].repartition(parts, "shard").sortWithinPartitions("shard", "start_t", "edge_seq").mapInArrow(run, schema)
@@ -197,12 +205,16 @@ def replay(edges: DataFrame, patterns: list[Pattern], tick_of: Callable[[float],
 
 def completed(edges: DataFrame, patterns: list[Pattern], anchors: list[str]) -> DataFrame:
     """The completed events of replay alone: shard, pattern, reps, and the start of each anchor. What they are not asked for
-    (bindings, and runs that nothing can follow) isn't made."""
+    (bindings, and runs that nothing can follow) isn't made, and edges that no clause can match are left out before they are dealt."""
 
     def take(d: Drive, last: bool) -> list[tuple]:
         out, d.out = d.out, []
         return out
 
+    asked = F.lit(False)
+    for c in {c for p in patterns for s in (*p.stages, *p.negations) for c in s.clauses}:
+        asked = asked | ((F.col("label") == c.label) & (F.lit(True) if target_vars(c.target) else matches(c.target, Parts.edge())))
+    edges = edges.where(F.coalesce(asked, F.lit(False)))
     kind = "double" if "double" in timed(edges)[1] else "long"
     schema = ", ".join(["shard string", "pattern string", "reps int", *[f"{a} {kind}" for a in anchors]])
     return _replayed(edges, patterns, None, schema, take, anchors=anchors)
